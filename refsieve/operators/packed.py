@@ -22,59 +22,69 @@ RULE_ROWS, HOT_SHARE = 50_000, 5_000
 
 # Marker words of author lists.
 CONNECT = "and|und|et|y"
-UNNAMED = r"al\.?|alii|alia|others|other|colleagues|coll\.?|u\.a\.|more|…|\.{3}|\[\.{3}\]|\[…\]"
+UNNAMED = r"alii|alia|others|other|colleagues|coll\.?|more|…|\.{3}|\[\.{3}\]|\[…\]"
 DEGREES = r"ph\.?d\.?|m\.?d\.?|m\.?sc\.?|b\.?sc\.?|m\.?p\.?h\.?|m\.a\.|b\.a\.|r\.?n\.?|dr\.?p\.?h\.?|psy\.?d\.?|ed\.?d\.?|jr\.?|sr\.?|ii|iii|iv|esq\.?|mba|frcp|dphil"
 TITLES = r"dr\.?|prof\.?|professor|mr\.?|mrs\.?|ms\.?|sir|dame"
-TOPIC = r"for|on|f\."
+TOPIC = "for|on"
 ORG = (
     r"cent(?:er|re)s?|ctr\.?|univ(?:ersity|ersität|ersidad|ersité|\.)?|dep(?:artment|t\.?)|institut(?:e|es|o|ion)?|inst\.?|collab(?:oration|orative|\.)|"
     r"groups?|grp\.?|consortium|association|assoc\.?|assn\.?|hospitals?|hosp\.?|society|soc\.?|network|committee|foundation|council|agency|"
-    r"ministry|team|organi[sz]ation|laborator(?:y|ies)|lab|school|college|faculty|clinic|initiative|project|board|panel|alliance|program(?:me)?"
+    r"ministry|team|organi[sz]ation|laborator(?:y|ies)|lab|school|college|faculty|clinic|initiative|project|board|panel|alliance|program(?:me)?|psychol(?:ogy|\.)"
 )
 
 _SEP = r";|/\r\n"
 _TOKEN = rf'"[^"]*+(?:""[^"]*+)*+"|[{_SEP}]+|,|&|[^\S\r\n]+|[^\s,&"{_SEP}]++|"'
 
 
-def _tokens(c: Column) -> Column:
+def _plain(c: Column) -> Column:
+    """Every white space but line ends as a blank."""
+    return F.regexp_replace(c, rf"(?![\r\n]){SPACE}", " ")
+
+
+def _tokens(plain: Column) -> Column:
     """Tokens of a field: quoted runs, delimiters, blanks and words; nothing is lost, so slices join to the text."""
-    plain = F.regexp_replace(c, rf"(?![\r\n]){SPACE}", " ")
     return F.regexp_extract_all(plain, F.lit(_TOKEN), F.lit(0))
 
 
-def _mask(t: Column) -> Column:
-    """Class letter of a token."""
-    low = F.lower(t)
-    word = lambda p: low.rlike(rf"^(?:{p})$")
-    return (
-        F.when(t.rlike(rf"^[{_SEP}]"), ";")
-        .when(t == ",", ",")
-        .when(t == "&", "&")
-        .when(t.rlike(r"^[^\S\r\n]+$"), "_")
-        .when(t.rlike('^"."?') & (F.length(t) > 1), "Q")
-        .when(t == "et", "e")
-        .when(t.rlike(rf"^(?:{CONNECT})$"), "a")
-        .when(word(UNNAMED), "x")
-        .when(t == "ON", "n")  # initials or a word in capitals: the neighbours tell
-        .when(t.rlike(r"^\p{Lu}{1,2}$"), "j")
-        .when(t.rlike(r"^(?:\p{L}\p{M}*\.-?)+$"), "i")
-        .when(t.rlike(r"^\p{Lu}(?:[.-]+\p{Lu}){0,3}$"), "j")
-        .when(word(DEGREES), "d")
-        .when(word(TITLES), "t")
-        .when(word(ORG), "o")
-        .when(word(TOPIC), "p")
-        .when(word("of|the|de|del|der|für"), "f")
-        .otherwise("w")
-    )
-
-
-def skeleton(tokens: Column) -> Column:
-    """Delimiter skeleton of a token array."""
-    return F.array_join(F.transform(tokens, _mask), "")
+# Class letters stand as private-use characters while the other words are still masked.
+_LETTERS = ";,&_QeExanjigdtopufbwl"
+_MARK = {c: chr(0xE000 + k) for k, c in enumerate(_LETTERS)}
+_ANY = "-"
+
+
+def skeleton(plain: Column) -> Column:
+    """Delimiter skeleton of a field: one class letter per token, in one pass per class over the whole field."""
+    out = F.regexp_replace(plain, f"[{_ANY}]", "?")
+    out = F.regexp_replace(out, r'"[^"]*+(?:""[^"]*+)*+"', _MARK["Q"])
+    out = F.regexp_replace(out, rf"[{_SEP}]+", _MARK[";"])
+    out = F.regexp_replace(out, r"[^\S\r\n]+", _MARK["_"])
+    out = F.translate(out, ',&"', _MARK[","] + _MARK["&"] + _MARK["w"])
+    for letter, words in (
+        ("e", "et"),
+        ("E", "ET"),  # of 'ET AL', else initials
+        ("l", r"(?i:al\.?)"),  # 'et al.', else initials
+        ("a", CONNECT),
+        ("x", f"(?i:{UNNAMED})"),
+        ("n", "ON"),  # initials or a word in capitals: the neighbours tell
+        ("j", r"\p{Lu}{1,2}"),
+        ("g", r"[fF]\."),  # an initial or 'for'
+        ("i", r"(?:\p{L}\p{M}*\.-?)+"),
+        ("j", r"\p{Lu}(?:[.-]+\p{Lu}){0,3}"),
+        ("d", f"(?i:{DEGREES})"),
+        ("t", f"(?i:{TITLES})"),
+        ("o", f"(?i:{ORG})"),
+        ("p", f"(?i:{TOPIC})"),
+        ("u", "(?i:of)"),
+        ("f", "(?i:the|de|del|der|für)"),
+        ("b", r"[\p{L}\p{M}]{3,}\."),
+        ("w", f"[^{_ANY}]+"),
+    ):
+        out = F.regexp_replace(out, f"(?<![^{_ANY}])(?:{words})(?![^{_ANY}])", _MARK[letter])
+    return F.translate(out, "".join(_MARK.values()), "".join(_MARK))
 
 
 #: 'for Stress' or 'on Sleep, Stress' before a connector and 'Coping' or 'Wellbeing Place' behind it.
-_INNER, _TAIL = re.compile(r"(?:_w,)*_w_"), re.compile(r"_w(?:_w)?(?:,|_?[a&]|$)")
+_INNER, _TAIL = re.compile(r"(?:_[wB],)*_[wB]_"), re.compile(r"_[wB](?:_[wB])?(?:,|_?[a&]|$)")
 
 
 def _strip(s: str, a: int, b: int, also: str = "") -> tuple[int, int]:
@@ -89,11 +99,14 @@ def _kind(p: str) -> str:
     """Kind of a comma part: D degree, O organisation, I initials, S one word, G word and dotted initials, F full name."""
     core = [c for c in p if c not in "_Qt"]
     k = "".join(core)
+    if k[:2] == "Bw" and len(k) == 2 and "_" in p:
+        return "A"
+    k = k.replace("B", "w")
     if not k:
         return "Q" if "Q" in p else "F"
     if set(k) <= {"d"}:
         return "D"
-    if "o" in k or "p" in k or "a" in k or "&" in k:
+    if "o" in k or "p" in k or "a" in k or "&" in k or "u" in k:
         return "O"
     if set(k) <= {"i", "j"}:
         return "I" if "t" not in p else "F"
@@ -111,6 +124,9 @@ def _kind(p: str) -> str:
 def _comma_items(s: str, parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Group comma parts into names: 'Surname, Given', 'Surname, I.', full names, organisations with their place."""
     kinds = [_kind(s[a:b]) for a, b in parts]
+    # 'Dpt. Psychology' beside an organisation is one too, else a given name cut short with its surname
+    two = len(kinds) == 2 and "O" in kinds
+    kinds = [("O" if two else "W") if k == "A" else k for k in kinds]
     out: list[tuple[int, int]] = []
     i, n = 0, len(parts)
     while i < n:
@@ -147,7 +163,10 @@ def _comma_items(s: str, parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def resolve(s: str) -> list[tuple[int, int]]:
     """Token spans of the single values of a skeleton, in order."""
-    s = re.sub("(?<=o_)n", "p", s).replace("n", "j")
+    s = re.sub("(?<=[ob]_)[ng]", "p", s).replace("n", "j").replace("g", "i").replace("b", "B")
+    s = re.sub("E(?=_l)", "e", s).replace("E", "j")
+    s = re.sub("(?<=e_)l", "x", s).replace("l", "j")
+    s = re.sub("(?<=w_)B", "w", s)
     out: list[tuple[int, int]] = []
     start = 0
     for end in [k for k, c in enumerate(s) if c == ";"] + [len(s)]:
@@ -217,8 +236,8 @@ def split_packed(df: DataFrame, field: str, keep: list[str], pos: str = "pos", v
     prefixed with ``__`` and the result has just the columns named. An empty table gives an empty result.
     """
     base = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{field}`").alias("__field")).filter(present(F.col("__field")).isNotNull())
-    base = base.withColumn("__tok", _tokens(F.col("__field"))).withColumn("__skel", skeleton(F.col("__tok"))).drop("__field")
-    rules = base.groupBy("__skel").agg(F.count("*").alias("__n")).mapInArrow(_rules, "__skel string, __spans array<struct<start:int,size:int>>, __n bigint")
+    base = base.withColumn("__field", _plain(F.col("__field"))).withColumn("__skel", skeleton(F.col("__field")))
+    rules = base.select("__skel").groupBy("__skel").agg(F.count("*").alias("__n")).mapInArrow(_rules, "__skel string, __spans array<struct<start:int,size:int>>, __n bigint")
     rules = rules.persist()
     count, total = rules.agg(F.count("*"), F.sum("__n")).first()
     if count <= RULE_ROWS:
@@ -229,6 +248,7 @@ def split_packed(df: DataFrame, field: str, keep: list[str], pos: str = "pos", v
         first = base.join(F.broadcast(often), "__skel", "left")
         hit = first.filter(F.col("__spans").isNotNull())
         joined = hit.unionByName(first.filter(F.col("__spans").isNull()).drop("__spans").join(rare, "__skel"))
+    joined = joined.withColumn("__tok", _tokens(F.col("__field")))
     values = F.filter(F.transform("__spans", lambda s: _take(F.col("__tok"), s)), lambda v: v != "")
     out = joined.select(*[F.col(f"`{c}`") for c in keep], F.posexplode(values).alias("__pos", "__val"))
     return out.select(*[F.col(f"`{c}`") for c in keep], (F.col("__pos") + 1).cast("bigint").alias(pos), F.col("__val").alias(value))
