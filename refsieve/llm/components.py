@@ -26,7 +26,8 @@ def components(edges: DataFrame, left: str, right: str, max_rounds: int = 200) -
     reduced map-side before the shuffle, and joins on such a vertex are broadcast (``join_hot``).
     """
     a, b = F.col(f"`{left}`").cast("bigint"), F.col(f"`{right}`").cast("bigint")
-    edges = cut(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter(a.isNotNull() & b.isNotNull() & (a != b)).distinct())
+    linked = edges.filter(a.isNotNull() & b.isNotNull() & (a != b))  # before the renaming: columns may be called u or v
+    edges = cut(linked.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct())
     mappings: list[DataFrame] = []
     for salt in range(max_rounds):
         if edges.isEmpty():

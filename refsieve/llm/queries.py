@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .components import match_groups
 from .formatting_duplicates import formatting_duplicates
+from .names import author_variants, same_entity_pairs
 from .mixing import document_sizes, mixture
 from .survivors import golden_records, survivor_fields
 from .tokenizer import encode_documents
@@ -27,6 +28,16 @@ def p2_copies(spark: SparkSession, d: str) -> DataFrame:
     return formatting_duplicates(table(spark, d, "articles_ris")).filter("ord = keep_ord").select("keep_ord", "copies")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of different spellings of one person or organisation."""
+    return same_entity_pairs(author_variants(table(spark, d, "articles_ris")))
+
+
+def p3_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling with its frequency and the entity it belongs to."""
+    return author_variants(table(spark, d, "articles_ris"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Group of every linked reference."""
     return match_groups(table(spark, d, "match_pairs"), table(spark, d, "articles_ris"))
@@ -60,6 +71,8 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_copies": p2_copies,
+    "p3_found": p3_found,
+    "p3_entities": p3_entities,
     "p4_found": p4_found,
     "p6_found": p6_found,
     "p6_golden": p6_golden,
