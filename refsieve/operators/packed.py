@@ -236,7 +236,7 @@ def split_packed(df: DataFrame, field: str, keep: list[str], pos: str = "pos", v
     prefixed with ``__`` and the result has just the columns named. An empty table gives an empty result.
     """
     base = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{field}`").alias("__field")).filter(present(F.col("__field")).isNotNull())
-    base = base.withColumn("__field", _plain(F.col("__field"))).withColumn("__skel", skeleton(F.col("__field")))
+    base = base.withColumn("__field", _plain(F.col("__field"))).withColumn("__skel", skeleton(F.col("__field"))).persist()  # read twice or three times
     rules = base.select("__skel").groupBy("__skel").agg(F.count("*").alias("__n")).mapInArrow(_rules, "__skel string, __spans array<struct<start:int,size:int>>, __n bigint")
     rules = rules.persist()
     count, total = rules.agg(F.count("*"), F.sum("__n")).first()

@@ -30,6 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows evenly before a costly Python step: small inputs would run in one task, since partitions are sized by bytes."""
+    spark = df.sparkSession
+    return df.repartition(max(partitions(spark), 2 * spark.sparkContext.defaultParallelism))
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
