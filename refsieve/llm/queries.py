@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .components import match_groups
 from .formatting_duplicates import formatting_duplicates
-from .names import author_variants, same_entity_pairs
 from .mixing import document_sizes, mixture
+from .names import author_variants, same_entity_pairs
+from .near_duplicates import near_duplicates
 from .survivors import golden_records, survivor_fields
 from .tokenizer import encode_documents
 
@@ -43,6 +44,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return match_groups(table(spark, d, "match_pairs"), table(spark, d, "articles_ris"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of records of one publication."""
+    return near_duplicates(table(spark, d, "articles_ris"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Record from which each field of a group survives."""
     return survivor_fields(table(spark, d, "articles_ris"), table(spark, d, "source_trust")).select("group_ord", "field", "from_ord")
@@ -74,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p3_entities": p3_entities,
     "p4_found": p4_found,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_golden": p6_golden,
     "p7_ids": p7_ids,
