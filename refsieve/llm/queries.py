@@ -13,6 +13,7 @@ from .formatting_duplicates import formatting_duplicates
 from .mixing import document_sizes, mixture
 from .names import author_variants, same_entity_pairs
 from .near_duplicates import near_duplicates
+from .pii import find_items, redact
 from .survivors import golden_records, survivor_fields
 from .tokenizer import encode_documents
 
@@ -74,6 +75,16 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture(document_sizes(table(spark, d, "documents")).persist(), table(spark, d, "mix_targets"))[1]
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Items of personal information in every document."""
+    return find_items(table(spark, d, "documents"))
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with placeholders for its items."""
+    return redact(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_copies": p2_copies,
@@ -86,6 +97,8 @@ QUERIES: dict[str, Query] = {
     "p7_ids": p7_ids,
     "p8_copies": p8_copies,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_redacted": p9_redacted,
 }
 
 
