@@ -1,14 +1,15 @@
 """Duplicates hidden by formatting: recursive radix partitioning on canonical bytes, tries with terminal counters.
 
 Buckets are byte prefixes of the canonical text. A bucket with more rows than fit is split by further bytes, level by
-level, until each fits. A bucket whose text is used up cannot be split: all its rows are one terminal, whose counter is
-built by a map-side combined count, so a text that holds a third of all rows never gathers in a task. Every other bucket
+level and past what all its texts share, until each fits. A bucket of one text cannot be split: all its rows are one
+terminal, whose counter is built by a map-side combined count, so a text that holds a third of all rows never gathers in a task. Every other bucket
 goes whole to one task (several small ones share it), where a trie over eight-byte edges is grown for all its rows at
 once; its terminal nodes count their rows and keep the smallest id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import join_checked
+from ..runtime import cut, join_checked
 from .canonical import pair_key
 
 #: Rows of a bucket that one task takes, and bytes by which a bucket is split at each level.
@@ -64,6 +65,16 @@ def _count(batch: pa.Table) -> pa.Table:
     return pa.table({"keep": pa.array(first[terminal], pa.int64()), "id": pa.array(ids, pa.int64()), "copies": pa.array(counter[terminal], pa.int64())})
 
 
+def _next_depth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes by which an oversized bucket is split: a step behind what all its texts share; -1 if they are one text."""
+    for b in batches:
+        depth = []
+        for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            shared = next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+            depth.append(-1 if x == y else shared + STEP)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(depth, pa.int32())], names=["__prefix", "__next"])
+
+
 def collapse(df: DataFrame, key: str, id: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``keep``, ``id``, ``copies`` of every row: rows with the same canonical text share the smallest id.
 
@@ -73,19 +84,21 @@ def collapse(df: DataFrame, key: str, id: str, bucket_rows: int = BUCKET_ROWS) -
     """
     rows = df.select(F.encode(F.coalesce(F.col(f"`{key}`"), F.lit("")), "utf-8").alias("__key"), F.col(f"`{id}`").cast("bigint").alias("__id"))
     rows = rows.persist()
-    open_, depth, fitting, hot = rows, 0, [], []
+    open_, fitting, hot, level = rows.withColumn("__depth", F.lit(STEP)), [], [], 0
     while True:
-        depth += STEP
-        open_ = open_.withColumn("__prefix", F.substring("__key", 1, depth))
-        over = open_.groupBy("__prefix").agg(F.count("*").alias("__n")).filter(F.col("__n") > bucket_rows)
-        over = over.select("__prefix", F.lit(True).alias("__over")).persist()
+        level += 1
+        open_ = open_.withColumn("__prefix", F.expr("substring(__key, 1, __depth)"))
+        sized = open_.groupBy("__prefix").agg(F.count("*").alias("__n"), F.min("__key").alias("__min"), F.max("__key").alias("__max")).filter(F.col("__n") > bucket_rows)
+        over = sized.select("__prefix", "__min", "__max").mapInArrow(_next_depth, "__prefix binary, __next int").persist()
         if over.isEmpty():
-            fitting.append(open_)
+            fitting.append(open_.select("__key", "__id", "__prefix"))
             break
         marked = join_checked(open_, over, "__prefix")  # at most rows / bucket_rows prefixes
-        fitting.append(marked.filter(F.col("__over").isNull()).select("__key", "__id", "__prefix"))
-        hot.append(marked.filter(F.col("__over") & (F.length("__key") <= depth)).select("__key", "__id"))
-        open_ = marked.filter(F.col("__over") & (F.length("__key") > depth)).select("__key", "__id")
+        if level % 3 == 0:
+            marked = cut(marked)
+        fitting.append(marked.filter(F.col("__next").isNull()).select("__key", "__id", "__prefix"))
+        hot.append(marked.filter(F.col("__next") < 0).select("__key", "__id"))
+        open_ = marked.filter(F.col("__next") > 0).select("__key", "__id", F.col("__next").alias("__depth"))
     todo = reduce(DataFrame.unionByName, fitting)
     # Buckets share a task's group; a group holds about bucket_rows rows, and a bucket at most that many more.
     groups = max(1, -(-rows.count() // bucket_rows))
