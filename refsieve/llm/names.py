@@ -162,7 +162,7 @@ def edits(a: str, b: str, most: int) -> int:
 
 
 # Log likelihoods of what a typist does to a canonical form.
-INITIAL, SHORT, NICK, LEFT_OUT, ADDED, TYPO_GIVEN, TYPO_SURNAME, WORD_LEFT_OUT, SPELT_OUT = (math.log(p) for p in (0.3, 0.1, 0.1, 0.3, 0.05, 0.01, 0.02, 0.02, 0.2))
+INITIAL, SHORT, NICK, LEFT_OUT, ADDED, TYPO_GIVEN, TYPO_SURNAME, WORD_LEFT_OUT, SPELT_OUT = (math.log(p) for p in (0.3, 0.1, 0.1, 0.3, 0.05, 0.01, 0.04, 0.02, 0.2))
 
 
 def channel(kind: str, sv: str, gv: str, sc: str, gc: str) -> tuple[float, int] | None:

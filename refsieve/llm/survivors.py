@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bare, doi_key, present
-from ..runtime import join_checked, join_hot
+from ..runtime import cut, join_checked, join_hot
 
 FIELDS = ("author", "doi", "title", "year")
 #: Days in which a vote halves.
 HALF_LIFE_DAYS = 365.0
-#: A title shorter than this share of its group's longest title is cut off.
-CUT_SHARE = 0.7
+#: A title is cut off if a title of its group that is longer than by this share starts with it, up to this share of typos.
+CUT_SHARE, TYPO_SHARE = 0.9, 0.2
+#: Letters by which a title finds longer titles of its group that start alike.
+HEAD = 8
 
 # Marks of cut-off values.
 CUT_TITLE = r"(?i)(\.{3}|…|\[\s*(truncated|\.{3}|…)\s*\])[\s\"'”’»\]]*$"
@@ -42,6 +44,27 @@ def title_marked_cut(c: Column) -> Column:
     return c.rlike(CUT_TITLE)
 
 
+def _started(solid: Column, longer: Column) -> Column:
+    size = F.length(solid)
+    near = F.levenshtein(F.substring(longer, F.lit(1), size), solid) <= TYPO_SHARE * size
+    return F.coalesce((size < CUT_SHARE * F.length(longer)) & near, F.lit(False))
+
+
+def with_cut_titles(rows: DataFrame, group: str, solid: str, flag: str) -> DataFrame:
+    """Add ``flag``: whether a longer title of the row's group starts with its title (``solid``: letters and digits only).
+
+    A title is held against the longest of its group and the longest of its group that starts with the same letters, so
+    that works sharing a DOI don't hide each other's whole titles. Null groups and titles are not flagged.
+    """
+    size = F.length(solid)
+    key = F.concat(F.col(group), F.lit("|"), F.substring(solid, 1, HEAD))
+    keyed = rows.withColumn("__alike", key)
+    whole = rows.filter(F.col(group).isNotNull()).groupBy(group).agg(F.max_by(solid, size).alias("__longest"))
+    alike = keyed.filter("__alike is not null").groupBy("__alike").agg(F.max_by(solid, size).alias("__longer"))
+    out = join_hot(join_hot(keyed, whole, group, "left"), alike, "__alike", "left")
+    return out.withColumn(flag, _started(F.col(solid), F.col("__longest")) | _started(F.col(solid), F.col("__longer"))).drop("__alike", "__longest", "__longer")
+
+
 def survivor_fields(articles: DataFrame, trust: DataFrame) -> DataFrame:
     """(group_ord, field, from_ord, value): the surviving value of each field of each group of records sharing a DOI.
 
@@ -51,16 +74,17 @@ def survivor_fields(articles: DataFrame, trust: DataFrame) -> DataFrame:
     """
     t = trust.groupBy("source_db").agg(F.max("trust").cast("double").alias("__trust"))
     rows = articles.select("ord", *FIELDS, "source_db", "exported_at", doi_key(F.col("doi")).alias("__doi")).filter(F.col("__doi").isNotNull())
-    size = F.length(bare(F.col("title")))
-    groups = rows.groupBy("__doi").agg(F.min("ord").alias("group_ord"), F.count("*").alias("__n"), F.max(size).alias("__longest")).filter("__n > 1").drop("__n")
-    rows = join_checked(join_hot(rows, groups, "__doi", "inner"), t, "source_db").withColumn("__trust", F.coalesce("__trust", F.lit(0.0)))
+    rows = cut(rows.withColumn("__solid", bare(F.col("title"))))
+    groups = rows.groupBy("__doi").agg(F.min("ord").alias("group_ord"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
+    rows = with_cut_titles(join_hot(rows, groups, "__doi", "inner"), "__doi", "__solid", "__cut")
+    rows = join_checked(rows, t, "source_db").withColumn("__trust", F.coalesce("__trust", F.lit(0.0)))
     whole = {
         "author": present(F.col("author")).isNotNull() & ~authors_cut(F.col("author")),
         "doi": F.lit(True),
-        "title": present(F.col("title")).isNotNull() & ~title_marked_cut(F.col("title")) & (size >= CUT_SHARE * F.col("__longest")) & doi_key(F.col("title")).isNull(),
+        "title": present(F.col("title")).isNotNull() & ~title_marked_cut(F.col("title")) & ~F.col("__cut") & doi_key(F.col("title")).isNull(),
         "year": year_of(F.col("year")).isNotNull(),
     }
-    norm = {"author": bare(F.col("author")), "doi": F.col("__doi"), "title": bare(F.col("title")), "year": year_of(F.col("year")).cast("string")}
+    norm = {"author": bare(F.col("author")), "doi": F.col("__doi"), "title": F.col("__solid"), "year": year_of(F.col("year")).cast("string")}
     long = rows.select(
         "group_ord", "ord", "__trust", "exported_at",
         F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), norm[f].alias("norm"), F.coalesce(whole[f], F.lit(False)).alias("whole")) for f in FIELDS])).alias("c"),
