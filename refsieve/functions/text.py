@@ -13,7 +13,7 @@ SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200D}\x{2028}\x{2029}\x{202
 
 def trimmed(c: Column) -> Column:
     """Without surrounding white space of any kind."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(c, rf"^{SPACE}++|(?<!{SPACE}){SPACE}++$", "")
 
 
 def present(c: Column) -> Column:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, present
+from ..functions.text import SPACE, present, trimmed
 
 #: Rules are broadcast whole up to this many rows; else only skeletons with more than 1/HOT_SHARE of the rows are.
 RULE_ROWS, HOT_SHARE = 50_000, 5_000
@@ -33,17 +33,18 @@ ORG = (
 )
 
 _SEP = r";|/\r\n"
-_TOKEN = rf'"[^"]*+(?:""[^"]*+)*+"|[{_SEP}]+|,|&|[^\S\r\n]+|[^\s,&"{_SEP}]++|"'
+_BLANK = rf"(?:(?![\r\n]){SPACE})"
+_TOKEN = rf'"[^"]*+(?:""[^"]*+)*+"|[{_SEP}]+|,|&|{_BLANK}++|(?:(?!{SPACE})[^,&"{_SEP}])++|"'
 
 
 def _plain(c: Column) -> Column:
-    """Every white space but line ends as a blank."""
-    return F.regexp_replace(c, rf"(?![\r\n]){SPACE}", " ")
+    """Every white space but line ends as a blank; one character for one, so the tokens stay the same."""
+    return F.regexp_replace(c, _BLANK, " ")
 
 
-def _tokens(plain: Column) -> Column:
+def _tokens(field: Column) -> Column:
     """Tokens of a field: quoted runs, delimiters, blanks and words; nothing is lost, so slices join to the text."""
-    return F.regexp_extract_all(plain, F.lit(_TOKEN), F.lit(0))
+    return F.regexp_extract_all(field, F.lit(_TOKEN), F.lit(0))
 
 
 # Class letters stand as private-use characters while the other words are still masked.
@@ -222,9 +223,9 @@ def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _take(tokens: Column, span: Column) -> Column:
-    raw = F.trim(F.array_join(F.slice(tokens, span["start"], span["size"]), ""))
+    raw = trimmed(F.array_join(F.slice(tokens, span["start"], span["size"]), ""))
     enclosed = (span["size"] == 1) & raw.rlike('^"') & (F.length(raw) > 1)
-    inner = F.trim(F.regexp_replace(F.substring(raw, F.lit(2), F.length(raw) - 2), '""', '"'))
+    inner = trimmed(F.regexp_replace(F.substring(raw, F.lit(2), F.length(raw) - 2), '""', '"'))
     return F.when(enclosed, inner).otherwise(raw)
 
 
@@ -236,7 +237,7 @@ def split_packed(df: DataFrame, field: str, keep: list[str], pos: str = "pos", v
     prefixed with ``__`` and the result has just the columns named. An empty table gives an empty result.
     """
     base = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{field}`").alias("__field")).filter(present(F.col("__field")).isNotNull())
-    base = base.withColumn("__field", _plain(F.col("__field"))).withColumn("__skel", skeleton(F.col("__field"))).persist()  # read twice or three times
+    base = base.withColumn("__skel", skeleton(_plain(F.col("__field")))).persist()  # read twice or three times
     rules = base.select("__skel").groupBy("__skel").agg(F.count("*").alias("__n")).mapInArrow(_rules, "__skel string, __spans array<struct<start:int,size:int>>, __n bigint")
     rules = rules.persist()
     count, total = rules.agg(F.count("*"), F.sum("__n")).first()
