@@ -9,6 +9,7 @@ conditional likelihood of the labelled training texts; training takes a few seco
 from __future__ import annotations
 
 import math
+import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -88,24 +89,41 @@ class Cues:
     """Word sequences beside names: one or two words before, two words behind."""
 
     def __init__(self, before: set[tuple[str, ...]], behind: set[tuple[str, ...]]) -> None:
-        self.before, self.behind = before, behind
-        self.before_re, self.behind_re = self._compile(before, True), self._compile(behind, False)
+        self.before, self.behind = self._compile(before), self._compile(behind)
 
     @staticmethod
-    def _compile(cues: set[tuple[str, ...]], before: bool) -> regex.Pattern | None:
-        if not cues:
-            return None
-
+    def _compile(cues: set[tuple[str, ...]]) -> re.Pattern | None:
         def one(cue: tuple[str, ...]) -> str:
-            words = [r"\r?\n" if w == "\n" else r"\d" * len(w) if set(w) == {"0"} else regex.escape(w) for w in cue]
-            gap = r"[^\S\r\n]*"
-            body = gap.join(words)
-            edge = lambda w: r"(?![\p{L}\p{M}\d])" if w[-1:].isalnum() else ""
-            start = r"(?<![\p{L}\p{M}\d])" if cue[0][:1].isalnum() else ""
-            return start + body + edge(cue[-1])
+            body = r"[^\S\r\n]*".join(r"\r?\n" if w == "\n" else r"\d" * len(w) if set(w) == {"0"} else re.escape(w) for w in cue)
+            return (r"\b" if cue[0][:1].isalnum() else "") + body + (r"\b" if cue[-1][-1:].isalnum() else "")
+
+        return re.compile("|".join(map(one, sorted(cues, key=lambda c: (-len(c), c))))) if cues else None
+
+    def starts(self, low: str) -> set[int]:
+        """Places behind a cue, in a lower-case text."""
+        return {_skip(low, m.end()) for m in self.before.finditer(low)} if self.before else set()
+
+    def ends(self, low: str) -> set[int]:
+        """Places before a cue."""
+        return {_back(low, m.start()) for m in self.behind.finditer(low)} if self.behind else set()
+
+
+def _skip(text: str, at: int) -> int:
+    while at < len(text) and text[at] in " \t\u00a0":
+        at += 1
+    return at
+
+
+def _back(text: str, at: int) -> int:
+    while at > 0 and text[at - 1] in " \t\u00a0":
+        at -= 1
+    return at
+
 
-        alternatives = "|".join(map(one, sorted(cues, key=lambda c: (-len(c), c))))
-        return regex.compile(rf"(?:{alternatives})[^\S\r\n]*" if before else rf"[^\S\r\n]*(?:{alternatives})", regex.IGNORECASE)
+def _lower(text: str) -> str:
+    """Lower case of the same length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
 def candidates(text: str, cues: Cues) -> list[tuple[int, int, str, tuple[str, ...]]]:
@@ -133,15 +151,14 @@ def candidates(text: str, cues: Cues) -> list[tuple[int, int, str, tuple[str, ..
                 out[m.start(), m.end() - 1, "address"] = (f"form={name}", f"form={name} town={town is not None}", "code=False", f"last={tail[:-1]}", "stop behind")
             if town:
                 out[m.start(), m.start("town"), "address"] = (f"form={name}", f"form={name} town=False", "code=False", "shorter")
-    starts = {m.end() for m in cues.before_re.finditer(text, overlapped=True)} if cues.before_re else set()
-    for a in starts:
+    low = _lower(text)
+    for a in cues.starts(low):
         t = _TITLE.match(text, a)
         for at in {a, t.end()} if t else {a}:
             for shape, p in _FROM.items():
                 if m := p.match(text, at):
                     out.setdefault((at, m.end(), "person_name"), (f"shape={shape}",))
-    ends = {m.start() for m in cues.behind_re.finditer(text, overlapped=True)} if cues.behind_re else set()
-    for b in ends:
+    for b in cues.ends(low):
         for shape, p in _UNTIL.items():
             if m := p.search(text, max(0, b - 60), b):
                 out.setdefault((m.start(), b, "person_name"), (f"shape={shape}",))
@@ -219,7 +236,7 @@ def best(segments: list[Segment], score: list[float]) -> list[int]:
     return out[::-1]
 
 
-def learn_cues(texts: list[tuple[str, list[tuple[int, int, str]]]]) -> Cues:
+def learn_cues(texts: list[tuple[str, list[tuple[int, int, str]]]]) -> tuple[set, set]:
     """Words that stand beside names in the training texts far more often than elsewhere."""
     seen_l, seen_r, gold_l, gold_r = Counter(), Counter(), Counter(), Counter()
     for text, items in texts:
@@ -236,7 +253,7 @@ def learn_cues(texts: list[tuple[str, list[tuple[int, int, str]]]]) -> Cues:
     before = {c for c, n in gold_l.items() if n >= 8 and n >= 0.3 * seen_l[c] and any(w.strip() for w in c)}
     before = {c for c in before if len(c) < 2 or c[1:] not in before}
     behind = {c for c, n in gold_r.items() if len(c) == 2 and n >= 8 and n >= 0.3 * seen_r[c] and any(w.isalpha() for w in c)}
-    return Cues(before, behind)
+    return before, behind
 
 
 def _segments(text: str, cues: Cues) -> list[Segment]:
@@ -275,7 +292,8 @@ class Detector:
 def train(size: int = SAMPLE, seed: int = 9) -> Detector:
     """Fit the weights to ``size`` labelled texts."""
     texts = training_texts(size, seed)
-    cues = learn_cues(texts)
+    before, behind = learn_cues(texts)
+    cues = Cues(before, behind)
     data = []
     for text, items in texts:
         segments = _segments(text, cues)
@@ -296,7 +314,7 @@ def train(size: int = SAMPLE, seed: int = 9) -> Detector:
                 d -= DECAY * w.get(f, 0.0)
                 g2[f] = g2.get(f, 1e-2) + d * d
                 w[f] = w.get(f, 0.0) + STEP_SIZE * d / math.sqrt(g2[f])
-    return Detector({f: round(x, 4) for f, x in w.items() if abs(x) > 1e-3}, cues.before, cues.behind)
+    return Detector({f: round(x, 4) for f, x in w.items() if abs(x) > 1e-3}, before, behind)
 
 
 def find_items(docs: DataFrame, id: str = "doc_id", text: str = "text", detector: Detector | None = None) -> DataFrame:
