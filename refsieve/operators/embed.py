@@ -17,7 +17,9 @@ def hashing_embedding(text: Column, dims: int = 64, n: int = 3) -> Column:
     """Counts of hashed character n-grams as array<double> of ``dims``; JVM-side. Null gives null, short texts zeros."""
     low = F.lower(text)
     grams = F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.pmod(F.crc32(F.encode(F.substring(low, i, F.lit(n)), "utf-8")), F.lit(dims)).cast("int"))).otherwise(F.array().cast("array<int>"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(grams, lambda g: g == d)).cast("double"))
+    # bound once as the variable of an outer transform, or they would be hashed anew for every dimension
+    per_dim = lambda g: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: (F.size(g) - F.size(F.array_remove(g, d))).cast("double"))
+    counts = F.transform(F.array(grams), per_dim)[0]
     return F.when(text.isNotNull(), counts)
 
 
