@@ -180,6 +180,9 @@ _FLAGS = f"""with f as (select ord, doi, title, author, year,
   ord > min(ord) over (partition by {_UP.format("doi")}) as dup_doi,
   ord > min(ord) over (partition by {_UP.format("title")}) as dup_title from articles_ris)"""
 _ROWS = "select ord, doi, title, author, year from f where"
+_FLAT = r"trim(regexp_replace({0}, '\s*[\r\n]+\s*', ' ', 'g'), ' ')"
+_AUTHORS = f"array_to_string(list_transform(string_split({_FLAT.format('author')}, '{MULTI}'), lambda x: trim(x, ' ')), '{MULTI}')"
+_WRITTEN = f"{_FLAT.format('doi')} as doi, {_FLAT.format('title')} as title, {_AUTHORS} as author, {_FLAT.format('year')} as year from articles_ris"
 _FIRST = "list_filter(tags, lambda t: t.tag = '{0}')[1].value"
 
 
@@ -206,6 +209,8 @@ ORACLE: dict[str, str] = {
   select ord, i - 1 as pos, a[i] as a, b[i] as b from (select ord, a, b, unnest(range(1, least(len(a), len(b)) + 1)) as i from s)""",
     "joined_text": "select ord, coalesce(mc, '') || coalesce(hc1, '') || coalesce(hc2, '') as text from coding_excerpt",
     "ris_fields": f"select ord, {_FIRST.format('DO')} as doi, coalesce({_FIRST.format('TI')}, {_FIRST.format('T1')}) as title, {_all('AU', 'A1')} as author, coalesce({_FIRST.format('PY')}, {_FIRST.format('Y1')}) as year from ris_records",
+    "ris_roundtrip": f"select ord, {_WRITTEN}",
+    "ris_file_roundtrip": f"select {_WRITTEN}",
     "content_manifest": "select doc_id, sha256(text) as sha256, length(text) as n from documents",
     "csv_roundtrip": "select ord, nullif(mc, '') as mc, nullif(hc1, '') as hc1, nullif(hc2, '') as hc2 from coding_excerpt",
     "run_manifest": r"""select name, type, round(nullif(regexp_extract(time, '^t([0-9.]+)s$', 1), '')::double * 86400e6)::bigint as time_us, bytes::bigint as bytes,
