@@ -8,24 +8,40 @@ votes alone would let many weak copies outvote the most trusted record.
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bare, doi_key, present
 from ..runtime import cut, join_checked, join_hot
+from .names import edits
 
 FIELDS = ("author", "doi", "title", "year")
 #: Days in which a vote halves.
 HALF_LIFE_DAYS = 365.0
-#: A title is cut off if a title of its group that is longer than by this share starts with it, up to this share of typos.
+#: A title may be cut off if a title of its group that is longer than by this share starts with it, up to this share of typos.
 CUT_SHARE, TYPO_SHARE = 0.9, 0.2
 #: Letters by which a title finds longer titles of its group that start alike.
 HEAD = 8
 
-# Marks of cut-off values.
+# Marks of cut-off values; words that small edits add, leave out or exchange.
 CUT_TITLE = r"(?i)(\.{3}|…|\[\s*(truncated|\.{3}|…)\s*\])[\s\"'”’»\]]*$"
 CUT_AUTHOR = r"(?i)(^|[\s,;&|/\"\[(])(et\.?\s+al(ii|ia)?\.?|(and|&)\s+(others|colleagues|coworkers)|u\.\s?a\.|\.{3}|…)[\s\"'\])”.;,]*$"
 YEAR = r"(?<!\d)(\d{4})(?!\d)"
+LIGHT = set(
+    "the a an and of in on from with within among amongst during throughout to for by at as is are it its up post pre under between across role function study investigation "
+    "model modelling modeling modelo modellingo effect effects impact impacts new early recent brief possible potential overall self reported selfreported adult "
+    "und der die das den dem des ein eine einer bei auf mit aus zu im von et le la les l de du d un une chez au aux sur dans en entre auprès y e el los las una del con sobre".split()
+)
+
+
+def title_words(c: Column) -> Column:
+    """Lower-case words of a title, joined by single blanks."""
+    plain = F.regexp_replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), "&", " and ")
+    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}\p{M}]+", " "))
 
 
 def year_of(c: Column) -> Column:
@@ -50,19 +66,69 @@ def _started(solid: Column, longer: Column) -> Column:
     return F.coalesce((size < CUT_SHARE * F.length(longer)) & near, F.lit(False))
 
 
-def with_cut_titles(rows: DataFrame, group: str, solid: str, flag: str) -> DataFrame:
-    """Add ``flag``: whether a longer title of the row's group starts with its title (``solid``: letters and digits only).
+@lru_cache(maxsize=200_000)
+def word_edits(x: str, y: str, most: int) -> int:
+    return edits(x, y, most)
+
+
+def _typos(size: int) -> int:
+    return 3 if size >= 8 else 2 if size >= 4 else 1 if size >= 3 else 0
+
+
+def _filler(x: str) -> bool:
+    return x in LIGHT or len(x) < 3 or len(x) >= 5 and not x.endswith("s") and any(len(w) >= 5 and word_edits(x, w, 1) <= 1 for w in LIGHT)
+
+
+def lacks_tail(short: list[str], longer: list[str]) -> bool:
+    """Whether words at the end of the longer title are what the shorter one lacks.
+
+    That is, the longer title's last word with a meaning stands nowhere in the shorter title, or only its first letters
+    end it, and the shorter title ends with a word, or the start of one, of the longer title. Words that were added to a
+    whole title, moved or misspelt leave it its ending.
+    """
+    said = [w for w in longer if not _filler(w)]
+    if not short or not said:
+        return False
+    tail, end = said[-1], short[-1]
+    if tail != end and tail.startswith(end) and len(tail) - len(end) >= 2:
+        return True
+    if not any(w.startswith(end) or word_edits(end, w[: len(end)], _typos(len(end))) <= _typos(len(end)) or word_edits(end, w, _typos(len(end))) <= _typos(len(end)) for w in longer):
+        return False
+    if len(tail) >= 4 and "".join(short).count(tail) >= "".join(longer).count(tail):  # also written as one word with another
+        return False
+    left, lacking = list((Counter(short) - Counter(longer)).elements()), Counter(longer) - Counter(short)
+    for x in said:  # misspelt words, first to last
+        if lacking[x] > 0:
+            most = _typos(max(4, len(x)))
+            y = min(left, key=lambda y: word_edits(x, y, most), default=None)  # noqa: B023
+            if y is not None and word_edits(x, y, most) <= most:
+                left.remove(y)
+                lacking[x] -= 1
+    return lacking[tail] > 0
+
+
+def _lacks_tail(short: pa.Array, longer: pa.Array) -> pa.Array:
+    return pa.array([bool(x and y) and lacks_tail(x.split(), y.split()) for x, y in zip(short.to_pylist(), longer.to_pylist(), strict=True)], pa.bool_())
+
+
+def with_cut_titles(rows: DataFrame, group: str, words: str, flag: str) -> DataFrame:
+    """Add ``flag``: whether a longer title of the row's group goes on where its title ends (``words``: as of ``title_words``).
 
     A title is held against the longest of its group and the longest of its group that starts with the same letters, so
     that works sharing a DOI don't hide each other's whole titles. Null groups and titles are not flagged.
     """
-    size = F.length(solid)
-    key = F.concat(F.col(group), F.lit("|"), F.substring(solid, 1, HEAD))
+    solid = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+    size = F.length(solid(words))
+    key = F.concat(F.col(group), F.lit("|"), F.substring(solid(words), 1, HEAD))
     keyed = rows.withColumn("__alike", key)
-    whole = rows.filter(F.col(group).isNotNull()).groupBy(group).agg(F.max_by(solid, size).alias("__longest"))
-    alike = keyed.filter("__alike is not null").groupBy("__alike").agg(F.max_by(solid, size).alias("__longer"))
+    whole = rows.filter(F.col(group).isNotNull()).groupBy(group).agg(F.max_by(words, size).alias("__longest"))
+    alike = keyed.filter("__alike is not null").groupBy("__alike").agg(F.max_by(words, size).alias("__longer"))
     out = join_hot(join_hot(keyed, whole, group, "left"), alike, "__alike", "left")
-    return out.withColumn(flag, _started(F.col(solid), F.col("__longest")) | _started(F.col(solid), F.col("__longer"))).drop("__alike", "__longest", "__longer")
+    for c in ("__longest", "__longer"):  # only titles that start a longer one go to Python
+        out = out.withColumn(c, F.when(_started(solid(words), solid(c)), F.col(c)))
+    lacks = F.arrow_udf(_lacks_tail, "boolean")
+    cut_off = [lacks(F.when(F.col(c).isNotNull(), F.col(words)), F.col(c)) for c in ("__longest", "__longer")]
+    return out.withColumn(flag, cut_off[0] | cut_off[1]).drop("__alike", "__longest", "__longer")
 
 
 def survivor_fields(articles: DataFrame, trust: DataFrame) -> DataFrame:
@@ -74,9 +140,9 @@ def survivor_fields(articles: DataFrame, trust: DataFrame) -> DataFrame:
     """
     t = trust.groupBy("source_db").agg(F.max("trust").cast("double").alias("__trust"))
     rows = articles.select("ord", *FIELDS, "source_db", "exported_at", doi_key(F.col("doi")).alias("__doi")).filter(F.col("__doi").isNotNull())
-    rows = cut(rows.withColumn("__solid", bare(F.col("title"))))
+    rows = cut(rows.withColumn("__solid", bare(F.col("title"))).withColumn("__words", title_words(F.col("title"))))
     groups = rows.groupBy("__doi").agg(F.min("ord").alias("group_ord"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
-    rows = with_cut_titles(join_hot(rows, groups, "__doi", "inner"), "__doi", "__solid", "__cut")
+    rows = with_cut_titles(join_hot(rows, groups, "__doi", "inner"), "__doi", "__words", "__cut")
     rows = join_checked(rows, t, "source_db").withColumn("__trust", F.coalesce("__trust", F.lit(0.0)))
     whole = {
         "author": present(F.col("author")).isNotNull() & ~authors_cut(F.col("author")),

@@ -1,6 +1,6 @@
 """Surviving fields."""
 
-from refsieve.llm.survivors import golden_records, survivor_fields
+from refsieve.llm.survivors import golden_records, lacks_tail, survivor_fields
 
 SCHEMA = "ord bigint, doi string, title string, author string, year string, source_db string, exported_at timestamp_ntz, vote string"
 
@@ -39,3 +39,19 @@ def test_golden(spark):
 def test_empty(spark):
     a, t = frame(spark)
     assert survivor_fields(a.limit(0), t).count() == 0 and survivor_fields(a, t.limit(0)).count() == 5
+
+
+def test_added_words_cut_nothing_off(spark):
+    whole = "The role of grit in absenteeism of adolescents: a pre-registered replication"
+    rows = [(1, "10.5555/a", whole, "X, Y.", "2001", "high", stamp(3), "v"), (2, "10.5555/a", whole.replace("registered", "registered possible recent"), "X, Y.", "2001", "low", stamp(1), "v"),
+            (3, "10.5555/b", "Optimism among pregnant women", "X, Y.", "2001", "high", stamp(3), "v"), (4, "10.5555/b", "Optimism amogn pregnant potential wlen", "X, Y.", "2001", "low", stamp(1), "v"),
+            (5, "10.5555/c", whole[:68], "X, Y.", "2001", "high", stamp(3), "v"), (6, "10.5555/c", whole.replace("registered", "registered possible"), "X, Y.", "2001", "low", stamp(1), "v"),
+            (7, "10.5555/d", "Optimism among pregnant", "X, Y.", "2001", "high", stamp(3), "v"), (8, "10.5555/d", "Optimism amogn pregnant potential women", "X, Y.", "2001", "low", stamp(1), "v")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = {r["group_ord"]: r["from_ord"] for r in survivor_fields(df, frame(spark)[1]).filter("field = 'title'").collect()}
+    assert out == {1: 1, 3: 3, 5: 6, 7: 8}
+
+
+def test_lacks_tail():
+    assert lacks_tail("how nurses in stoulmolten co".split(), "how nurses in stoulmolten cope job burnout hope and irritability".split())
+    assert not lacks_tail("a daily diary study of nurses".split(), "a daily diary self reported study among potential early nurses".split())
