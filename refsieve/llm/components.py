@@ -59,5 +59,5 @@ def match_groups(pairs: DataFrame, articles: DataFrame) -> DataFrame:
     m = pairs.filter((F.col("verdict") == "match") & F.col("left_ord").isNotNull() & F.col("right_ord").isNotNull() & (F.col("left_ord") != F.col("right_ord")))
     m = m.select(F.least("left_ord", "right_ord").alias("a"), F.greatest("left_ord", "right_ord").alias("b")).distinct()
     for side in "ab":
-        m = m.join(known.withColumnRenamed("o", side), side, "left_semi")
+        m = join_hot(m, known.withColumnRenamed("o", side), side, "inner").select("a", "b")
     return components(m, "a", "b").select(F.col("vertex").alias("ord"), F.col("component").alias("group_ord"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, join_checked
+from ..runtime import cut, join_checked, join_hot
 from .canonical import pair_key
 
 #: Rows of a bucket that one task takes, and bytes by which a bucket is split at each level.
@@ -103,12 +103,9 @@ def collapse(df: DataFrame, key: str, id: str, bucket_rows: int = BUCKET_ROWS) -
     # Buckets share a task's group; a group holds about bucket_rows rows, and a bucket at most that many more.
     groups = max(1, -(-rows.count() // bucket_rows))
     out = todo.groupBy(F.pmod(F.xxhash64("__prefix"), F.lit(groups)).alias("__group")).applyInArrow(_count, "keep bigint, id bigint, copies bigint")
-    for h in hot:
-        counted = h.groupBy("__key").agg(F.min("__id").alias("keep"), F.count("*").alias("copies")).withColumn("__many", F.col("copies") > bucket_rows)
-        often = counted.filter("__many").drop("__many")  # at most rows / bucket_rows texts
-        seldom = counted.filter(~F.col("__many")).drop("__many")
-        for part in (h.join(F.broadcast(often), "__key"), h.join(seldom, "__key")):
-            out = out.unionByName(part.select("keep", F.col("__id").alias("id"), "copies"))
+    for h in hot:  # every bucket here is one text of more than bucket_rows rows
+        counted = h.groupBy("__key").agg(F.min("__id").alias("keep"), F.count("*").alias("copies"))
+        out = out.unionByName(join_hot(h, counted, "__key", "inner").select("keep", F.col("__id").alias("id"), "copies"))
     return out
 
 

@@ -1,9 +1,10 @@
 """Best representative of each duplicate group, field by field.
 
-Fields are unpivoted to long rows, every normalised value collects votes (source trust times a decay with age), the
-winner of a field is chosen by ``max_by`` and the winners are pivoted back. The value of the most trusted and then most
-recent record wins; the vote sum decides between values that are equal in both, the smallest id after that. A sum of
-votes alone would let many weak copies outvote the most trusted record.
+Fields are unpivoted to long rows, every normalised value collects the votes of its records, the value of the largest sum
+wins by ``max_by`` and the winners are pivoted back. A vote is the record's trust weight times its recency decay, both
+powers of two, measured from the strongest record that has a complete value of the field in the group (whose vote is 1,
+so that no sum of interest underflows). With the default half-life, below the resolution of timestamps, copies of older
+or less trusted records never outvote a newer or more trusted one; a longer half-life lets them.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from ..runtime import cut, join_checked, join_hot
 from .names import edits
 
 FIELDS = ("author", "doi", "title", "year")
-#: Days in which a vote halves.
-HALF_LIFE_DAYS = 365.0
+#: Microseconds in which a vote halves, and age in microseconds that a step of trust outweighs.
+HALF_LIFE_US, TRUST_US = 1 / 40, 1e18
 #: A title may be cut off if a title of its group that is longer than by this share starts with it, up to this share of typos.
 CUT_SHARE, TYPO_SHARE = 0.9, 0.2
 #: Letters by which a title finds longer titles of its group that start alike.
@@ -131,12 +132,13 @@ def with_cut_titles(rows: DataFrame, group: str, words: str, flag: str) -> DataF
     return out.withColumn(flag, cut_off[0] | cut_off[1]).drop("__alike", "__longest", "__longer")
 
 
-def survivor_fields(articles: DataFrame, trust: DataFrame) -> DataFrame:
+def survivor_fields(articles: DataFrame, trust: DataFrame, half_life_us: float = HALF_LIFE_US) -> DataFrame:
     """(group_ord, field, from_ord, value): the surviving value of each field of each group of records sharing a DOI.
 
     Needs ord, doi, title, author, year, source_db, exported_at; other columns are ignored. Records whose doi field
     holds no DOI belong to no group. A field without a complete value has no row; unknown sources have trust 0; null
-    timestamps count as the oldest. Groups of any size are combined map-side.
+    timestamps count as the oldest. The record of a value is its strongest one, of equals the one of the smallest ord;
+    equal sums of votes are settled likewise. Groups of any size are combined map-side, hot ones joined by broadcast.
     """
     t = trust.groupBy("source_db").agg(F.max("trust").cast("double").alias("__trust"))
     rows = articles.select("ord", *FIELDS, "source_db", "exported_at", doi_key(F.col("doi")).alias("__doi")).filter(F.col("__doi").isNotNull())
@@ -151,16 +153,18 @@ def survivor_fields(articles: DataFrame, trust: DataFrame) -> DataFrame:
         "year": year_of(F.col("year")).isNotNull(),
     }
     norm = {"author": bare(F.col("author")), "doi": F.col("__doi"), "title": F.col("__solid"), "year": year_of(F.col("year")).cast("string")}
-    long = rows.select(
-        "group_ord", "ord", "__trust", "exported_at",
-        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), norm[f].alias("norm"), F.coalesce(whole[f], F.lit(False)).alias("whole")) for f in FIELDS])).alias("c"),
-    ).filter("c.whole").select("group_ord", "ord", "__trust", "exported_at", "c.field", "c.value", "c.norm")
-    at = F.unix_micros(F.col("exported_at").cast("timestamp"))
-    vote = F.col("__trust") * F.pow(F.lit(2.0), (F.coalesce(at, F.lit(0)) / 86_400e6 - 18_500) / HALF_LIFE_DAYS)
-    best = F.struct(F.col("__trust").alias("trust"), at.alias("at"), (-F.col("ord")).alias("back"))
-    votes = long.groupBy("group_ord", "field", "norm").agg(F.sum(vote).alias("votes"), F.max(best).alias("best"), F.max_by("value", best).alias("value"))
-    order = F.struct(F.col("best.trust"), F.col("best.at"), F.col("votes"), F.col("best.back"))
-    won = votes.groupBy("group_ord", "field").agg(F.max_by(F.struct((-F.col("best.back")).alias("from_ord"), "value"), order).alias("w"))
+    at = F.coalesce(F.unix_micros(F.col("exported_at").cast("timestamp")), F.lit(-(2**61)))
+    strength = F.struct(F.col("__trust").alias("trust"), at.alias("at"))
+    whole = {f: F.coalesce(w, F.lit(False)) for f, w in whole.items()}
+    rows = cut(rows.select("group_ord", "ord", strength.alias("__s"), F.array(*[F.when(whole[f], F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), norm[f].alias("norm"))) for f in FIELDS]).alias("__f")))
+    top = rows.groupBy("group_ord").agg(*[F.max(F.when(F.col("__f")[k].isNotNull(), F.col("__s"))).alias(f"__top{k}") for k in range(len(FIELDS))])
+    rows = join_hot(rows, top, "group_ord", "inner")
+    long = rows.select("group_ord", "ord", "__s", F.inline(F.filter(F.arrays_zip("__f", F.array(*[F.col(f"__top{k}") for k in range(len(FIELDS))]).alias("__top")), lambda x: x["__f"].isNotNull())).alias("c", "t"))
+    behind = (F.col("t.trust") - F.col("__s.trust")) * TRUST_US + (F.col("t.at") - F.col("__s.at"))
+    vote = F.pow(F.lit(2.0), -behind / half_life_us)
+    best = F.struct(F.col("__s.trust").alias("trust"), F.col("__s.at").alias("at"), (-F.col("ord")).alias("back"))
+    votes = long.groupBy("group_ord", F.col("c.field").alias("field"), F.col("c.norm").alias("norm")).agg(F.sum(vote).alias("votes"), F.max(best).alias("best"), F.max_by(F.col("c.value"), best).alias("value"))
+    won = votes.groupBy("group_ord", "field").agg(F.max_by(F.struct((-F.col("best.back")).alias("from_ord"), "value"), F.struct("votes", "best")).alias("w"))
     return won.select("group_ord", "field", F.col("w.from_ord").alias("from_ord"), F.col("w.value").alias("value"))
 
 
