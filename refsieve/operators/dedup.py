@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import join_hot
-
 #: Helper columns; reserved so that no input column can shadow a mask.
 FLAG_DOI, FLAG_TITLE = "__dup_doi", "__dup_title"
 
@@ -16,22 +14,36 @@ def fold(c: Column) -> Column:
     return F.upper(c)
 
 
-def first_occurrence(df: DataFrame, key: str, flag: str, ord: str = "ord", window: bool = False) -> DataFrame:
-    """Add ``flag``: true for the second and later rows, by ``ord``, of the folded value. Null equals null.
+#: Keys whose first occurrences are looked up, with the bit that stands for each.
+KEYS = {"doi": (FLAG_DOI, 1), "title": (FLAG_TITLE, 2)}
+
 
-    The default form finds the first row of each value by a map-side combined minimum and joins it back, hot values by
-    broadcast, so that a value (or null) of any share doesn't gather in one task; ``window=True`` uses one window.
+def first_occurrences(df: DataFrame, keys: list[str], ord: str = "ord") -> DataFrame:
+    """(ord, bits): rows that are the first, by ``ord``, of a folded value; bit k is set for the k-th key. Null equals null.
+
+    All keys are looked up in one scan: a row gives one (key number, value, ord) for each, the smallest ord of a value is
+    combined map-side, so a value (or null) of any share is one row of each task.
     """
-    if window:
-        return df.withColumn(flag, F.col(ord) > F.min(ord).over(Window.partitionBy(fold(F.col(key)))))
-    keyed = df.withColumn("__key", F.coalesce(F.concat(F.lit("="), fold(F.col(key))), F.lit("")))  # null: ''
-    first = keyed.groupBy("__key").agg(F.min(ord).alias("__first"))
-    return join_hot(keyed, first, "__key").withColumn(flag, F.col(ord) > F.col("__first")).drop("__key", "__first")
+    value = lambda c: F.coalesce(F.concat(F.lit("="), fold(F.col(c))), F.lit(""))  # noqa: E731  null: ''
+    long = df.select(F.col(ord).alias("ord"), F.explode(F.array(*[F.struct(F.lit(1 << k).alias("bit"), value(c).alias("value")) for k, c in enumerate(keys)])).alias("k"))
+    return long.groupBy("k.bit", "k.value").agg(F.min("ord").alias("ord")).groupBy("ord").agg(F.bit_or("bit").alias("bits"))
 
 
 def duplicate_flags(df: DataFrame, ord: str = "ord", window: bool = False) -> DataFrame:
-    """Both masks, each on the whole input."""
-    return first_occurrence(first_occurrence(df, "doi", FLAG_DOI, ord, window), "title", FLAG_TITLE, ord, window)
+    """Both masks, each on the whole input: true for the second and later rows, by ``ord``, of the folded value.
+
+    ``ord`` is unique, so the join that brings the first occurrences back has no hot key; ``window=True`` takes one
+    window for each key instead.
+    """
+    if window:
+        for key, (flag, _) in KEYS.items():
+            df = df.withColumn(flag, F.col(ord) > F.min(ord).over(Window.partitionBy(fold(F.col(key)))))
+        return df
+    first = first_occurrences(df, list(KEYS), ord).select(F.col("ord").alias("__ord"), F.col("bits").alias("__bits"))
+    out = df.join(first, F.col(ord) == F.col("__ord"), "left")
+    for flag, bit in KEYS.values():
+        out = out.withColumn(flag, F.coalesce(F.col("__bits"), F.lit(0)).bitwiseAND(F.lit(bit)) == 0)
+    return out.drop("__ord", "__bits")
 
 
 def duplicate_mask(conserve: bool = False) -> Column:

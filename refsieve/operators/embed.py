@@ -8,19 +8,31 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut, join_hot
 
-def hashing_embedding(text: Column, dims: int = 64, n: int = 3) -> Column:
-    """Counts of hashed character n-grams as array<double> of ``dims``; JVM-side. Null gives null, short texts zeros."""
-    low = F.lower(text)
-    grams = F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.pmod(F.crc32(F.encode(F.substring(low, i, F.lit(n)), "utf-8")), F.lit(dims)).cast("int"))).otherwise(F.array().cast("array<int>"))
-    # bound once as the variable of an outer transform, or they would be hashed anew for every dimension
-    per_dim = lambda g: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: (F.size(g) - F.size(F.array_remove(g, d))).cast("double"))
-    counts = F.transform(F.array(grams), per_dim)[0]
-    return F.when(text.isNotNull(), counts)
+
+#: Factors by which the code points of the three letters of a gram are mixed.
+MIX = (31, 7, 1)
+
+
+def hashing_embedding(text: Column, dims: int = 64) -> Column:
+    """Counts of hashed letter triples as array<double> of ``dims``, in one pass over the text. Null gives null, short texts zeros."""
+
+    @F.pandas_udf("array<double>")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = []
+            for t in texts:
+                c = None if t is None else np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+                out.append(None if c is None else np.bincount((c[:-2] * MIX[0] + c[1:-1] * MIX[1] + c[2:] * MIX[2]) % dims if len(c) > 2 else np.empty(0, np.int64), minlength=dims).astype(np.float64))
+            yield pd.Series(out, index=texts.index, dtype=object)
+
+    return count(text)
 
 
 def embed_texts(df: DataFrame, column: str, load: Callable[[], Callable[[list[str]], list[list[float]]]], out: str = "embedding") -> DataFrame:
@@ -40,9 +52,15 @@ def embed_texts(df: DataFrame, column: str, load: Callable[[], Callable[[list[st
 
 
 def embed_distinct(df: DataFrame, columns: list[str], embed: Callable[[Column], Column]) -> DataFrame:
-    """Add ``<column>_vec`` for text columns, embedding each distinct text once."""
-    texts = df.select(F.explode(F.array(*columns)).alias("__t")).filter("__t is not null").distinct()
-    vectors = texts.select("__t", embed(F.col("__t")).alias("__v"))
+    """Add ``<column>_vec`` for text columns, embedding each distinct text once: for costly embedders.
+
+    Texts meet their vectors by a digest; null texts get keys of their own, and texts of any share are joined by
+    broadcast, so that neither gathers in one task.
+    """
+    digest = lambda c: F.sha2(F.col(c), 256)
+    texts = df.select(F.explode(F.array(*columns)).alias("__t")).filter("__t is not null").groupBy(digest("__t").alias("__k")).agg(F.first("__t").alias("__t"))
+    vectors = cut(texts.select("__k", embed(F.col("__t")).alias("__v")))
     for c in columns:
-        df = df.join(vectors.select(F.col("__t").alias(c), F.col("__v").alias(f"{c}_vec")), c, "left")
+        keyed = df.withColumn("__k", F.coalesce(digest(c), F.concat(F.lit("~"), F.monotonically_increasing_id())))
+        df = join_hot(keyed, vectors.withColumnRenamed("__v", f"{c}_vec"), "__k").drop("__k")
     return df

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,21 +27,64 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0)))
 
 
-#: Queries of one block of a search.
-QUERY_BLOCK = 2_000
-
-
-def cosine_to_queries(df: DataFrame, id: str, vector: str, query: Column) -> DataFrame:
-    """(i, j, sim) of a stated query set against all other rows, in blocks of queries; norms are computed once per row.
-
-    A block has about QUERY_BLOCK rows and is broadcast; the number of blocks follows the counted queries.
+#: Queries of one block and rows of one chunk of a search; blocks of queries that are broadcast together.
+QUERY_BLOCK, CHUNK, BROADCAST_BLOCKS = 1_000, 1_000, 20
+
+
+def _packed(rows: DataFrame, number: int, prefix: str) -> DataFrame:
+    """Rows of (id, v) as ``number`` rows of arrays, spread by hash."""
+    return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(number)).cast("int").alias(f"{prefix}_no")).agg(F.collect_list(F.struct("id", F.col("v").alias("v"))).alias(prefix))
+
+
+def _products(kind: pa.DataType, diagonal: bool):  # noqa: ANN202
+    def side(cell: pa.Scalar) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        ids, lists = cell.values.field("id"), cell.values.field("v")
+        valid = np.asarray(lists.is_valid())
+        width = max((len(x) for x in lists.to_pylist() if x is not None), default=0)
+        v = np.zeros((len(ids), width))
+        if valid.any():
+            v[valid] = np.array(lists.filter(pa.array(valid)).to_pylist(), np.float64)
+        n = np.zeros(len(ids))
+        for k in range(width):  # summed from the left
+            n = n + v[:, k] * v[:, k]
+        return ids, v, np.sqrt(n), valid
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                (i, q, qn, ok_q), (j, v, vn, ok_v) = side(b.column("q")[row]), side(b.column("c")[row])
+                width = min(q.shape[1], v.shape[1])
+                dots = np.zeros((len(i), len(j)))
+                for k in range(width):
+                    dots += q[:, k, None] * v[None, :, k]
+                norms = qn[:, None] * vn[None, :]
+                sims = np.divide(dots, norms, out=np.zeros_like(dots), where=norms != 0).ravel()
+                rows, columns = np.divmod(np.arange(len(i) * len(j)), max(1, len(j)))
+                left, right = i.take(pa.array(rows)), j.take(pa.array(columns))
+                out = pa.RecordBatch.from_arrays([left.cast(kind), right.cast(kind), pa.array(sims, pa.float64(), mask=~(ok_q[rows] & ok_v[columns]))], names=["i", "j", "sim"])
+                yield out if diagonal else out.filter(pc.not_equal(out.column(0), out.column(1)))
+
+    return run
+
+
+def cosine_to_queries(df: DataFrame, id: str, vector: str, query: Column, diagonal: bool = False) -> DataFrame:
+    """(i, j, sim) of a stated query set against all other rows (with ``diagonal``, also each query itself), in blocks.
+
+    Queries and rows are packed into blocks of about QUERY_BLOCK and chunks of about CHUNK rows; every block meets every
+    chunk in one join and is multiplied there in double precision. Blocks are broadcast up to BROADCAST_BLOCKS, else they
+    meet the chunks by their number in a shuffle. 0 for a zero vector, null for a null vector; null ids are left out.
     """
-    base = df.select(F.col(id).alias("id"), F.col(vector).alias("v")).withColumn("n", norm(F.col("v")))
-    q = base.filter(query).select(F.col("id").alias("i"), F.col("v").alias("qv"), F.col("n").alias("qn"))
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
-    sim = F.when(F.col("v").isNotNull() & F.col("qv").isNotNull(), F.coalesce(F.try_divide(dot(F.col("qv"), F.col("v")), F.col("qn") * F.col("n")), F.lit(0.0)))
-    parts = [base.join(F.broadcast(q.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)), F.col("id") != F.col("i")) for k in range(blocks)]
-    return reduce(DataFrame.unionByName, parts).select("i", F.col("id").alias("j"), sim.alias("sim"))
+    base = df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{vector}`").alias("v")).filter("id is not null")
+    q = base.filter(query)
+    counts = base.agg(F.count("*").alias("n"), F.count(F.when(query, 1)).alias("q")).first()
+    blocks, chunks = max(1, -(-counts["q"] // QUERY_BLOCK)), max(1, -(-counts["n"] // CHUNK))
+    left, right = _packed(q, blocks, "q"), _packed(base, chunks, "c")
+    if blocks <= BROADCAST_BLOCKS:
+        met = right.join(F.broadcast(left), F.lit(True))
+    else:
+        met = right.withColumn("q_no", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(left, "q_no")
+    kind = df.schema[id].dataType
+    return met.select("q", "c").mapInArrow(_products(to_arrow_type(kind), diagonal), f"i {kind.simpleString()}, j {kind.simpleString()}, sim double")
 
 
 def triple_similarity(df: DataFrame, mc: Column, hc1: Column, hc2: Column, keep: list[str]) -> DataFrame:
@@ -55,3 +102,17 @@ def zip_pairs(df: DataFrame, keep: list[str], a: str, b: str) -> DataFrame:
 def joined(c: Column) -> Column:
     """Texts of an array run together without a separator."""
     return F.array_join(c, "")
+
+
+def zip_similarity(df: DataFrame, keep: list[str], a: str, b: str, embed: Callable[[Column], Column]) -> DataFrame:
+    """Similarity of two arrays of texts pair by pair, cut to the shorter one: keep, pos (from 0), a, b, sim."""
+    pairs = zip_pairs(df, keep, a, b)
+    return pairs.select(*keep, "pos", "a", "b", cosine(embed(F.col("a")), embed(F.col("b"))).alias("sim"))
+
+
+def joined_similarity(df: DataFrame, keep: list[str], sides: dict[str, Column], embed: Callable[[Column], Column]) -> DataFrame:
+    """Similarity of every two sides (arrays of texts run together): keep, left, right, sim."""
+    vectors = df.select(*keep, *[embed(joined(c)).alias(f"__{n}") for n, c in sides.items()])
+    names = list(sides)
+    rows = [F.struct(F.lit(x).alias("left"), F.lit(y).alias("right"), cosine(F.col(f"__{x}"), F.col(f"__{y}")).alias("sim")) for k, x in enumerate(names) for y in names[k + 1 :]]
+    return vectors.select(*keep, F.inline(F.array(*rows)))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows a broadcast side may have at most; beyond it every operator takes a shuffle join.
 BROADCAST_ROWS = 200_000
+#: Bytes it may have at most, at 64 bytes a text and 16 a number.
+BROADCAST_BYTES = 64 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -42,18 +44,21 @@ def partitions(spark: SparkSession) -> int:
 
 
 def join_checked(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a right side that is usually small: broadcast it when its counted rows are at most ``rows``, else shuffle."""
-    small = right.limit(rows + 1).count() <= rows
+    """Join a right side that is usually small: broadcast it when its counted rows, of the width the plan expects, are at most ``rows`` and BROADCAST_BYTES, else shuffle."""
+    width = max(16, sum(f.dataType.jsonValue() in ("string", "binary") and 64 or 16 for f in right.schema))
+    small = right.limit(rows + 1).count() <= min(rows, BROADCAST_BYTES // width)
     return left.join(F.broadcast(right) if small else right, on, how)
 
 
-def hot_keys(df: DataFrame, key: str, share: float = 1e-3, least: int = 10_000) -> DataFrame:
+def hot_keys(df: DataFrame, key: str, share: float = 1e-3, least: int = 10_000) -> list:
     """Keys that hold more than ``share`` of the rows (and ``least`` rows): at most 1/share of them, by construction.
 
-    The count is combined map-side, so a hot key never gathers in one task.
+    The count is combined map-side, so a hot key never gathers in one task. Null is no key. One job where nothing is hot.
     """
-    n = df.count()
-    return df.groupBy(key).count().filter(F.col("count") > F.lit(max(least, int(n * share)))).select(key)
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).count()
+    total, top = counts.agg(F.sum("count"), F.max("count")).first()
+    most = max(least, int((total or 0) * share))
+    return [r[0] for r in counts.filter(F.col("count") > most).select(key).collect()] if (top or 0) > most else []
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "left", share: float = 1e-3, least: int = 10_000) -> DataFrame:
@@ -62,8 +67,7 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "left", sha
     Right rows of the hot keys (at most 1/share rows) are broadcast, all others meet in a shuffle join, so no task
     receives the rows of a hot key. Null keys match nothing.
     """
-    hot = hot_keys(left.filter(F.col(key).isNotNull()), key, share, least)
-    found = [r[0] for r in hot.collect()]
+    found = hot_keys(left, key, share, least)
     if not found:
         return left.join(right, key, how)
     is_hot = F.coalesce(F.col(key).isin(found), F.lit(False))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import partitions
+
 EXCERPT = "mc string, hc1 string, hc2 string"
 META_COLUMNS = "name type data command depend seed path time size bytes format repository iteration parent children seconds warnings error".split()
 
@@ -19,9 +21,12 @@ def read_excerpts(spark: SparkSession, path: str, schema: str = EXCERPT) -> Data
     return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', enforceSchema=True)
 
 
-def write_csv(df: DataFrame, path: str, ord: str = "ord", keep_ord: bool = False) -> str:
-    """One CSV file with a header, in the order of ``ord``; returns the path."""
-    out = df.coalesce(1).sortWithinPartitions(ord)
+def write_csv(df: DataFrame, path: str, ord: str = "ord", keep_ord: bool = False, files: int | None = None) -> str:
+    """CSV with a header, in the order of ``ord``; range-split parts, with ``files=1`` one file. Returns the path."""
+    if files == 1:
+        out = df.coalesce(1).sortWithinPartitions(ord)
+    else:
+        out = df.repartitionByRange(files or partitions(df.sparkSession), ord).sortWithinPartitions(ord)
     (out if keep_ord else out.drop(ord)).write.mode("overwrite").csv(path, header=True, escape='"', quoteAll=False, emptyValue='""', lineSep="\n")
     return path
 

@@ -41,6 +41,19 @@ def test_round_trip(spark, tmp_path):
         assert rows(to_table(read_ris(spark, path)).select("ord", "doi", "title", "author", "year")) == data
 
 
+def test_round_trip_keeps_every_field(spark, tmp_path):
+    text = "TY  - CHAP\nTI  - A\nAU  - X, Y\nAU  - Z, W\nDO  - 10.1/a\nPY  - 2001\nAB  - Some words\nJO  - J\nKW  - k1\nKW  - k2\nN1  - note\nZZ  - odd\nER  - \n\nTY  - JOUR\nTI  - B\nER  - \n"
+    (tmp_path / "in.ris").write_text(text)
+    one = to_table(read_ris(spark, str(tmp_path / "in.ris")))
+    path = write_ris(one, str(tmp_path / "out"), files=1)
+    two = to_table(read_ris(spark, path))
+    assert rows(one) == rows(two)
+    assert two.filter("ord = 0").first()["extra"] == {"type": ["CHAP"], "abstract": ["Some words"], "journal": ["J"], "keywords": ["k1", "k2"], "notes": ["note"], "ZZ": ["odd"]}
+    odd = spark.createDataFrame([(0, "t", {"a long name": ["v"], "keywords": ["x", None], "empty": [], "none": None})], "ord bigint, title string, extra map<string,array<string>>").selectExpr("ord", "title", "string(null) doi", "string(null) author", "string(null) year", "extra")
+    back = to_table(read_ris(spark, write_ris(odd, str(tmp_path / "odd")))).first()
+    assert back["extra"] == {"type": ["JOUR"], "notes": ["a long name: v"], "keywords": ["x"]}
+
+
 def test_parse_edges(spark):
     df = spark.createDataFrame([("",), (None,), ("no tags",)], "s string").select(parse_record(F.col("s")).alias("t"))
     assert [r["t"] for r in df.collect()] == [[], None, []]
@@ -48,8 +61,11 @@ def test_parse_edges(spark):
 
 def test_csv(spark, tmp_path):
     data = [(2, 'a "b", c', "x\ny", None), (1, None, "q", "r"), (3, "ü", "", "s")]
-    path = write_csv(spark.createDataFrame(data, "ord bigint, mc string, hc1 string, hc2 string"), str(tmp_path / "c"))
+    df = spark.createDataFrame(data, "ord bigint, mc string, hc1 string, hc2 string")
+    path = write_csv(df, str(tmp_path / "c"), files=1)
     got = [tuple(r) for r in read_excerpts(spark, path).collect()]
+    parts = [tuple(r) for r in read_excerpts(spark, write_csv(df, str(tmp_path / "p"))).collect()]
+    assert sorted(parts, key=repr) == sorted(got, key=repr)
     assert got == [(None, "q", "r"), ('a "b", c', "x\ny", None), ("ü", None, "s")]
 
 

@@ -4,9 +4,10 @@ import math
 
 from pyspark.sql import functions as F
 
-from refsieve.operators.embed import embed_texts, hashing_embedding
-from refsieve.operators.vectors import cosine, cosine_to_queries, joined, zip_pairs
-from refsieve.plans.pipeline import Pipeline, Stage, bibliography_pipeline
+from refsieve.operators.embed import embed_distinct, embed_texts, hashing_embedding
+from refsieve.operators.vectors import cosine, cosine_to_queries, joined, joined_similarity, zip_pairs, zip_similarity
+from refsieve.operators.dedup import dedup
+from refsieve.plans.pipeline import Pipeline, Stage, bibliography_pipeline, full_code
 from refsieve.streaming.dedup import stream_dedup
 
 
@@ -28,6 +29,33 @@ def test_queries_in_blocks(spark, monkeypatch):
     assert len(one) == 6 * 59
 
 
+def test_blocks_without_broadcast(spark, monkeypatch):
+    import refsieve.operators.vectors as v
+
+    df = spark.createDataFrame([(k, None if k == 7 else [0.0, 0.0] if k == 9 else [float(k % 5), 2.0]) for k in range(40)], "vec_id bigint, embedding array<float>")
+    one = {tuple(r) for r in cosine_to_queries(df, "vec_id", "embedding", F.col("id") < 10, diagonal=True).collect()}
+    for name, x in (("QUERY_BLOCK", 3), ("CHUNK", 7), ("BROADCAST_BLOCKS", 0)):
+        monkeypatch.setattr(v, name, x)
+    assert {tuple(r) for r in cosine_to_queries(df, "vec_id", "embedding", F.col("id") < 10, diagonal=True).collect()} == one
+    sims = {(i, j): s for i, j, s in one}
+    assert len(sims) == 400 and sims[7, 3] is None and sims[9, 1] == 0.0 and math.isclose(sims[3, 3], 1.0)
+    assert cosine_to_queries(df.limit(0), "vec_id", "embedding", F.col("id") < 10).count() == 0
+
+
+def test_similarities(spark):
+    df = spark.createDataFrame([(1, ["abcd", "xyz"], ["abcd", "zzz", "q"])], "k int, p array<string>, q array<string>")
+    embed = lambda c: hashing_embedding(c)
+    assert [(r["pos"], round(r["sim"], 6)) for r in zip_similarity(df, ["k"], "p", "q", embed).collect()] == [(0, 1.0), (1, 0.0)]
+    out = {(r["left"], r["right"]): r["sim"] for r in joined_similarity(df, ["k"], {"p": F.col("p"), "q": F.col("q"), "e": F.array()}, embed).collect()}
+    assert set(out) == {("p", "q"), ("p", "e"), ("q", "e")} and 0 < out["p", "q"] < 1 and out["p", "e"] == 0.0
+
+
+def test_embed_distinct(spark):
+    df = spark.createDataFrame([(k, "abc" if k % 2 else None, f"t{k % 3} text") for k in range(30)], "k int, a string, b string")
+    out = embed_distinct(df, ["a", "b"], hashing_embedding).collect()
+    assert len(out) == 30 and all((r["a_vec"] is None) == (r["a"] is None) and sum(r["b_vec"]) == 5 for r in out)
+
+
 def test_zip_and_join(spark):
     df = spark.createDataFrame([(1, ["a", "b", "c"], ["x", "y"]), (2, [], ["x"]), (3, None, ["x"])], "k int, p array<string>, q array<string>")
     assert [tuple(r) for r in zip_pairs(df, ["k"], "p", "q").collect()] == [(1, 0, "a", "x"), (1, 1, "b", "y")]
@@ -56,6 +84,37 @@ def test_pipeline(spark, tmp_path):
     assert "tbl --> tbl_dedup" in p.mermaid() and ":::uptodate" in p.mermaid()
 
 
+def test_a_changed_output_runs_again(spark, tmp_path):
+    (tmp_path / "in.ris").write_text("TY  - JOUR\nTI  - a\nER  - \n")
+    run = lambda out: bibliography_pipeline(spark, str(tmp_path / "store"), str(tmp_path / "in.ris"), str(tmp_path / out), files=1).run()
+    run("one")
+    states = run("two")
+    assert states["dat_dedup"] == "ran" and states["tbl_dedup"] == "skipped" and (tmp_path / "two").exists()
+
+
+def _inner(x):
+    return x + 1
+
+
+def _outer(x):
+    return _inner(x)
+
+
+def test_code_follows_callees():
+    assert "return x + 1" in full_code(lambda: _outer(1))
+    assert "def first_occurrences" in full_code(lambda t: dedup(t)) and "def fold" in full_code(lambda t: dedup(t))
+    a, b = ((lambda v: lambda: v)(v) for v in ("a", "b"))
+    assert full_code(a) != full_code(b)
+
+
+def test_document(spark, tmp_path):
+    p = Pipeline(spark, str(tmp_path / "s"), [Stage("good", lambda: spark.range(3))])
+    p.run()
+    path = p.render(str(tmp_path / "doc.md"), "Report", "What ran.")
+    text = open(path).read()
+    assert text.startswith("# Report\n\nWhat ran.\n\n```mermaid\ngraph LR") and "| good | done |" in text and p.manifest()["good"]["bytes"] > 0
+
+
 def test_pipeline_goes_on_after_errors(spark, tmp_path):
     def bad():
         raise ValueError("no")
