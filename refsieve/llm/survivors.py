@@ -34,7 +34,7 @@ CUT_AUTHOR = r"(?i)(^|[\s,;&|/\"\[(])(et\.?\s+al(ii|ia)?\.?|(and|&)\s+(others|co
 YEAR = r"(?<!\d)(\d{4})(?!\d)"
 LIGHT = set(
     "the a an and of in on from with within among amongst during throughout to for by at as is are it its up post pre under between across role function study investigation "
-    "model modelling modeling modelo modellingo effect effects impact impacts new early recent brief possible potential overall self reported selfreported adult "
+    "model modelling modeling modelo effect effects impact impacts new early recent brief possible potential overall self reported selfreported adult "
     "und der die das den dem des ein eine einer bei auf mit aus zu im von et le la les l de du d un une chez au aux sur dans en entre auprès y e el los las una del con sobre".split()
 )
 
