@@ -1,24 +1,30 @@
 """Several values packed in one field: one value per row, with its position.
 
-A field is cut into tokens and masked to a *delimiter skeleton*: one class letter per token, ordinary words and initials
-masked, delimiters, quotes and marker words kept. Splitting rules are resolved once per distinct skeleton, the table of
-rules is joined back (broadcast when its counted size allows, frequent skeletons broadcast and the rest shuffled
-otherwise) and values are taken out by token position. Only the resolver runs in Python, once per distinct skeleton.
+A field is cut at its outer delimiters into segments, and every segment is masked to a *delimiter skeleton*: one class
+letter per token, ordinary words and initials masked, delimiters, quotes and marker words kept. Segments repeat a small
+number of skeletons whatever the size of the data. Splitting rules are resolved once per distinct skeleton and broadcast
+- all of them while their counted number is small, else those of every skeleton with more than a set share of the
+segments, while a rare one is resolved where it stands. Values are taken out by token position. Both passes over the
+fields are Arrow batches with a memo of word classes, which costs a fraction of one regular expression per class.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, present, trimmed
+from ..functions.text import present
 
-#: Rules are broadcast whole up to this many rows; else only skeletons with more than 1/HOT_SHARE of the rows are.
-RULE_ROWS, HOT_SHARE = 50_000, 5_000
+#: Rules are broadcast whole up to this many; else only those of skeletons with more than 1/HOT_SHARE of the segments.
+RULE_ROWS, HOT_SHARE = 50_000, 20_000
+#: Word classes and rules that a worker remembers.
+MEMO = 1 << 17
 
 # Marker words of author lists.
 CONNECT = "and|und|et|y"
@@ -32,34 +38,16 @@ ORG = (
     r"ministry|team|organi[sz]ation|laborator(?:y|ies)|lab|school|college|faculty|clinic|initiative|project|board|panel|alliance|program(?:me)?|psychol(?:ogy|\.)"
 )
 
-_SEP = r";|/\r\n"
-_BLANK = rf"(?:(?![\r\n]){SPACE})"
-_TOKEN = rf'"[^"]*+(?:""[^"]*+)*+"|[{_SEP}]+|,|&|{_BLANK}++|(?:(?!{SPACE})[^,&"{_SEP}])++|"'
+_SEP = ";|/\r\n"
+# White space as in functions.text.SPACE.
+_BLANKS = " \t\n\x0b\x0c\r\x85\xa0\u1680\u180e" + "".join(map(chr, range(0x2000, 0x200E))) + "\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
+_INLINE = "".join(c for c in _BLANKS if c not in "\r\n")
+#: Quoted runs, delimiters, blanks and words; nothing is lost, so slices join to the text.
+_TOKEN = re.compile(rf'"[^"]*(?:""[^"]*)*"|[{_SEP}]+|,|&|[{_INLINE}]+|[^{_BLANKS},&"{_SEP}]+|"')
 
-
-def _plain(c: Column) -> Column:
-    """Every white space but line ends as a blank; one character for one, so the tokens stay the same."""
-    return F.regexp_replace(c, _BLANK, " ")
-
-
-def _tokens(field: Column) -> Column:
-    """Tokens of a field: quoted runs, delimiters, blanks and words; nothing is lost, so slices join to the text."""
-    return F.regexp_extract_all(field, F.lit(_TOKEN), F.lit(0))
-
-
-# Class letters stand as private-use characters while the other words are still masked.
-_LETTERS = ";,&_QeExanjigdtopufbwl"
-_MARK = {c: chr(0xE000 + k) for k, c in enumerate(_LETTERS)}
-_ANY = "-"
-
-
-def skeleton(plain: Column) -> Column:
-    """Delimiter skeleton of a field: one class letter per token, in one pass per class over the whole field."""
-    out = F.regexp_replace(plain, f"[{_ANY}]", "?")
-    out = F.regexp_replace(out, r'"[^"]*+(?:""[^"]*+)*+"', _MARK["Q"])
-    out = F.regexp_replace(out, rf"[{_SEP}]+", _MARK[";"])
-    out = F.regexp_replace(out, r"[^\S\r\n]+", _MARK["_"])
-    out = F.translate(out, ',&"', _MARK[","] + _MARK["&"] + _MARK["w"])
+# Classes of words, the first that fits; other words are 'w'.
+_CLASSES = [
+    (letter, regex.compile(words))
     for letter, words in (
         ("e", "et"),
         ("E", "ET"),  # of 'ET AL', else initials
@@ -78,10 +66,36 @@ def skeleton(plain: Column) -> Column:
         ("u", "(?i:of)"),
         ("f", "(?i:the|de|del|der|für)"),
         ("b", r"[\p{L}\p{M}]{3,}\."),
-        ("w", f"[^{_ANY}]+"),
-    ):
-        out = F.regexp_replace(out, f"(?<![^{_ANY}])(?:{words})(?![^{_ANY}])", _MARK[letter])
-    return F.translate(out, "".join(_MARK.values()), "".join(_MARK))
+    )
+]
+
+
+@lru_cache(maxsize=MEMO)
+def _letter(token: str) -> str:
+    """Class letter of a token."""
+    c = token[0]
+    if c == '"':
+        return "Q" if len(token) > 1 else "w"
+    if c in ",&":
+        return c
+    if c in _SEP:
+        return ";"
+    if c in _INLINE:
+        return "_"
+    return next((letter for letter, p in _CLASSES if p.fullmatch(token)), "w")
+
+
+def segments(field: str) -> list[tuple[list[str], str]]:
+    """Tokens and skeleton of every segment between outer delimiters, without blanks around it; empty ones are left out."""
+    tokens = _TOKEN.findall(field)
+    out, start = [], 0
+    for part in "".join(map(_letter, tokens)).split(";"):
+        end = start + len(part)
+        a, b = start + part.startswith("_"), end - part.endswith("_")
+        if a < b:
+            out.append((tokens[a:b], part[a - start : b - start]))
+        start = end + 1
+    return out
 
 
 #: 'for Stress' or 'on Sleep, Stress' before a connector and 'Coping' or 'Wellbeing Place' behind it.
@@ -215,18 +229,37 @@ def resolve(s: str) -> list[tuple[int, int]]:
 
 
 def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    spans = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32())]))
     for batch in batches:
         keys = batch.column("__skel")
-        found = [[{"start": a + 1, "size": b - a} for a, b in resolve(k)] for k in keys.to_pylist()]
-        yield pa.RecordBatch.from_arrays([keys, pa.array(found, spans), batch.column("__n")], names=["__skel", "__spans", "__n"])
+        found = [[x for span in resolve(k) for x in span] for k in keys.to_pylist()]
+        yield pa.RecordBatch.from_arrays([keys, pa.array(found, pa.list_(pa.int32()))], names=["__skel", "__spans"])
+
+
+def _skeletons(fields: pa.Array) -> pa.Array:
+    return pa.array([None if f is None else [k for _, k in segments(f)] for f in fields.to_pylist()], pa.list_(pa.string()))
+
+
+def rules_of(fields: DataFrame) -> dict[str, list[int]]:
+    """Rules (starts and ends of values, in turn) of the distinct skeletons of ``__field``: at most RULE_ROWS + HOT_SHARE of them."""
+    found = fields.select(F.explode(F.arrow_udf(_skeletons, "array<string>")("__field")).alias("__skel")).groupBy("__skel").agg(F.count("*").alias("__n")).persist()
+    count, total = found.agg(F.count("*"), F.sum("__n")).first()
+    kept = found if count <= RULE_ROWS else found.filter(F.col("__n") > total // HOT_SHARE)
+    rows = kept.select("__skel").mapInArrow(_rules, "__skel string, __spans array<int>").collect()
+    found.unpersist()
+    return {r["__skel"]: r["__spans"] for r in rows}
+
+
+@lru_cache(maxsize=MEMO)
+def _rare(skeleton: str) -> list[int]:
+    return [x for span in resolve(skeleton) for x in span]
 
 
-def _take(tokens: Column, span: Column) -> Column:
-    raw = trimmed(F.array_join(F.slice(tokens, span["start"], span["size"]), ""))
-    enclosed = (span["size"] == 1) & raw.rlike('^"') & (F.length(raw) > 1)
-    inner = trimmed(F.regexp_replace(F.substring(raw, F.lit(2), F.length(raw) - 2), '""', '"'))
-    return F.when(enclosed, inner).otherwise(raw)
+def _take(tokens: list[str], start: int, end: int) -> str:
+    """The value at token positions: trimmed, without the quotes that enclose it."""
+    raw = "".join(tokens[start:end]).strip(_BLANKS)
+    if end - start == 1 and len(raw) > 1 and raw[0] == '"':
+        return raw[1:-1].replace('""', '"').strip(_BLANKS)
+    return raw
 
 
 def split_packed(df: DataFrame, field: str, keep: list[str], pos: str = "pos", value: str = "value") -> DataFrame:
@@ -237,21 +270,20 @@ def split_packed(df: DataFrame, field: str, keep: list[str], pos: str = "pos", v
     prefixed with ``__`` and the result has just the columns named. An empty table gives an empty result.
     """
     base = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{field}`").alias("__field")).filter(present(F.col("__field")).isNotNull())
-    base = base.withColumn("__skel", skeleton(_plain(F.col("__field")))).persist()  # read twice or three times
-    rules = base.select("__skel").groupBy("__skel").agg(F.count("*").alias("__n")).mapInArrow(_rules, "__skel string, __spans array<struct<start:int,size:int>>, __n bigint")
-    rules = rules.persist()
-    count, total = rules.agg(F.count("*"), F.sum("__n")).first()
-    if count <= RULE_ROWS:
-        joined = base.join(F.broadcast(rules.drop("__n")), "__skel")
-    else:
-        often = rules.filter(F.col("__n") > total // HOT_SHARE).drop("__n")  # fewer than HOT_SHARE rows
-        rare = rules.filter(F.col("__n") <= total // HOT_SHARE).drop("__n")
-        first = base.join(F.broadcast(often), "__skel", "left")
-        hit = first.filter(F.col("__spans").isNotNull())
-        joined = hit.unionByName(first.filter(F.col("__spans").isNull()).drop("__spans").join(rare, "__skel"))
-    joined = joined.withColumn("__tok", _tokens(F.col("__field")))
-    values = F.filter(F.transform("__spans", lambda s: _take(F.col("__tok"), s)), lambda v: v != "")
-    out = joined.select(*[F.col(f"`{c}`") for c in keep], F.posexplode(values).alias("__pos", "__val"))
+    rules = base.sparkSession.sparkContext.broadcast(rules_of(base))
+
+    def values(fields: pa.Array) -> pa.Array:
+        known, out = rules.value, []
+        for f in fields.to_pylist():
+            row = []
+            for tokens, skeleton in segments(f):
+                spans = known.get(skeleton)
+                spans = _rare(skeleton) if spans is None else spans
+                row += [v for k in range(0, len(spans), 2) if (v := _take(tokens, spans[k], spans[k + 1]))]
+            out.append(row)
+        return pa.array(out, pa.list_(pa.string()))
+
+    out = base.select(*[F.col(f"`{c}`") for c in keep], F.posexplode(F.arrow_udf(values, "array<string>")("__field")).alias("__pos", "__val"))
     return out.select(*[F.col(f"`{c}`") for c in keep], (F.col("__pos") + 1).cast("bigint").alias(pos), F.col("__val").alias(value))
 
 

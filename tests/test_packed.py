@@ -2,9 +2,7 @@
 
 import pytest
 
-from pyspark.sql import functions as F
-
-from refsieve.operators.packed import _plain, author_names, resolve, skeleton, split_packed
+from refsieve.operators.packed import author_names, resolve, segments, split_packed
 
 CASES = {
     "Balilund, D K; Folmandall, Kofi T.; Daniel Quinkomum & F. Figuvelle": ["Balilund, D K", "Folmandall, Kofi T.", "Daniel Quinkomum", "F. Figuvelle"],
@@ -40,9 +38,10 @@ def test_cases(spark):
     assert not {90, 91, 92} & set(got)
 
 
-def test_spans_by_skeleton(spark):
-    sk = spark.createDataFrame([("Ab, C.; \"D, E\" and F G",)], "s string").select(skeleton(_plain(F.col("s")))).first()[0]
-    assert sk == "w,_i;_Q_a_j_j" and len(resolve(sk)) == 3
+def test_skeletons_by_segment():
+    found = segments('Ab, C.; "D; E" and F G;;\r\n ; H')
+    assert [k for _, k in found] == ["w,_i", "Q_a_j_j", "j"] and len(resolve("Q_a_j_j")) == 2
+    assert all("".join(tokens) in 'Ab, C.; "D; E" and F G;;\r\n ; H' for tokens, _ in found)
 
 
 def test_edges(spark):
@@ -59,7 +58,7 @@ def test_as_typed(spark):
     assert out[1, 1] == "Ab\u00a0Cde, D." and out[1, 2] == "Ef,\u00a0G." and len(out[2, 1]) == 200_000
 
 
-def test_many_skeletons_take_the_shuffle(spark, monkeypatch):
+def test_rare_skeletons_are_resolved_in_place(spark, monkeypatch):
     import refsieve.operators.packed as packed
 
     rows = [(k, s) for k, s in enumerate(CASES)]
