@@ -23,15 +23,27 @@ from ..operators.packed import DEGREES, ORG, TITLES, author_names
 from ..runtime import cut
 from .components import components
 
-# Short forms of given names, and abbreviated words of organisations.
+# Frequent short forms of given names in several languages with the names they stand for, and abbreviated
+# words of organisations.
 NICKNAMES = {
-    "abby": "abigail", "alex": "alexander", "andy": "andrew", "becky": "rebecca", "ben": "benjamin", "beth": "elizabeth", "bill": "william", "bob": "robert",
-    "charlie": "charles", "chris": "christopher", "chuck": "charles", "dan": "daniel", "danny": "daniel", "dave": "david", "debbie": "deborah", "dick": "richard",
-    "ed": "edward", "fred": "frederick", "gabi": "gabriela", "gianni": "giovanni", "hans": "johannes", "heinz": "heinrich", "jim": "james", "joe": "joseph",
-    "josie": "josephine", "kate": "katherine", "kathy": "katherine", "katya": "ekaterina", "lenny": "leonard", "liz": "elizabeth", "lola": "dolores", "lupe": "guadalupe",
-    "maggie": "margaret", "mike": "michael", "misha": "mikhail", "molly": "mary", "nacho": "ignacio", "ned": "edward", "nell": "eleanor", "nick": "nicholas",
-    "paco": "francisco", "pat": "patricia", "peggy": "margaret", "penny": "penelope", "rick": "richard", "sally": "sarah", "sam": "samuel", "sasha": "alexander",
-    "stas": "stanislav", "sue": "susan", "ted": "theodore", "tilly": "matilda", "tom": "thomas", "tony": "anthony", "trish": "patricia", "vicky": "victoria", "zack": "zachary",
+    k: tuple(v.split())
+    for k, v in (
+        line.split(" ", 1)
+        for line in (
+            "abby abigail|al alan albert alfred|alex alexander alexandra|allie alison|andy andrew andreas|angie angela|annie anne anna|barb barbara|bea beatrice beatriz|becky rebecca|ben benjamin|bernie bernard|bert albert herbert robert|bess elizabeth|"
+            "beth elizabeth|betty elizabeth|bill william|billy william|bob robert|bobby robert|brad bradley|cathy catherine|charlie charles|chris christopher christian christine|chuck charles|cindy cynthia|connie constance|dan daniel|danny daniel|"
+            "dave david|deb deborah|debbie deborah|dick richard|dolly dorothy|don donald|donny donald|dora dorothy theodora|doug douglas|drew andrew|ed edward edgar edwin|eddie edward|ella eleanor|ellie eleanor|fran frances|frank francis franklin|"
+            "fred frederick friedrich|gabby gabriela gabrielle|gabi gabriela gabriele|gene eugene|geoff geoffrey|gerry gerald|gianni giovanni|ginny virginia|greg gregory|gus gustav augustus|hal harold henry|hank henry|hans johannes|harry harold henry|"
+            "heinz heinrich|hugo hugh|jack john|jackie jacqueline|jake jacob|jamie james|jan johannes|jeff jeffrey|jen jennifer|jenny jennifer|jerry gerald jerome|jim james|jimmy james|joe joseph|joey joseph|johnny john|jon jonathan|josh joshua|josie josephine|"
+            "judy judith|kai kaspar|kate katherine catherine|kathy katherine kathleen|katie katherine|katya ekaterina|ken kenneth|kim kimberly|kiko francisco|klaus nikolaus|kurt konrad|larry lawrence|len leonard|lenny leonard|leo leonard leopold|lexi alexandra|"
+            "liz elizabeth|lizzie elizabeth|lola dolores|lou louis louise|lucy lucia|lupe guadalupe|maggie margaret|mandy amanda|manolo manuel|manny manuel|marge margaret|matt matthew|max maximilian|meg margaret|mel melanie melvin|mick michael|mickey michael|"
+            "mike michael|misha mikhail|mitch mitchell|moe maurice|molly mary|nacho ignacio|nan ann|nancy ann|nate nathan nathaniel|ned edward|nell eleanor helen|nellie eleanor|nick nicholas|nicky nicholas nicole|nina antonina|nora eleanor|paco francisco|"
+            "pam pamela|pancho francisco|pat patricia patrick|patty patricia|peggy margaret|penny penelope|pepe jose|pete peter|phil philip|polly mary|ray raymond|reggie reginald|rich richard|rick richard|ricky richard|rob robert|robby robert|ron ronald|ronnie ronald|"
+            "rosie rose|roy leroy|rudi rudolf|russ russell|sally sarah|sam samuel samantha|sammy samuel|sandy sandra alexander|sasha alexander alexandra|sepp josef|seppl josef|sid sidney|stan stanley|stas stanislav|steff stefanie stefan|steve stephen steven|sue susan|"
+            "susie susan|suzy susan|tammy tamara|ted theodore edward|teddy theodore|terry terence teresa|tess teresa|theo theodore|tilly matilda|tim timothy|toby tobias|tom thomas|tommy thomas|tony anthony antonio|trish patricia|trudy gertrude|ulli ulrich|uli ulrich ulrike|"
+            "val valerie|vanya ivan|vic victor|vicky victoria|vince vincent|viv vivian|volodya vladimir|walt walter|wes wesley|will william|willy william|wolf wolfgang|zach zachary|zack zachary"
+        ).split("|")
+    )
 }
 ORG_SHORT = {
     "assn": "association", "assoc": "association", "centre": "center", "collab": "collaboration", "ctr": "center", "dep": "department", "dept": "department", "grp": "group",
@@ -51,7 +63,12 @@ def _one_off(words: list[str]) -> set[str]:
     return {w[:k] + w[k + 1 :] for w in words for k in range(len(w))} | set(words)
 
 
-_ORG_NEAR = _one_off(["university", "institute", "department", "hospital", "association", "laboratory", "collaboration", "consortium", "resilience", "research", "psychology"])
+_ORG_NEAR = _one_off(["university", "institute", "department", "hospital", "association", "laboratory", "collaboration", "consortium", "research"])
+
+
+def full_names(x: str) -> tuple[str, ...]:
+    """A given name and the names it may be short for."""
+    return (x, *NICKNAMES.get(x, ()))
 
 
 def is_organisation(s: str) -> bool:
@@ -192,6 +209,8 @@ def channel(kind: str, sv: str, gv: str, sc: str, gc: str) -> tuple[float, int]
             return None
         ll, typos = ll + TYPO_SURNAME, 1
     v, c = gv.split(), gc.split()
+    if not v and not c:  # a bare surname is linked to its own typo only
+        return (ll, typos) if typos else None
     if not v or not c:
         return None
     for k in range(max(len(v), len(c))):
@@ -203,18 +222,19 @@ def channel(kind: str, sv: str, gv: str, sc: str, gc: str) -> tuple[float, int]
             ll += ADDED
         elif v[k] != c[k]:
             x, y = v[k], c[k]
-            fx, fy = NICKNAMES.get(x, x), NICKNAMES.get(y, y)
-            if len(x) == 1 and (fy.startswith(x) or y.startswith(x)):
+            fx, fy = full_names(x), full_names(y)
+            starts = lambda names, part: any(n.startswith(part) for n in names)
+            if len(x) == 1 and starts(fy, x):
                 ll += INITIAL
-            elif len(y) == 1 and (fx.startswith(y) or x.startswith(y)):
+            elif len(y) == 1 and starts(fx, y):
                 ll += SPELT_OUT
-            elif x.endswith(".") and (fy.startswith(x[:-1]) or y.startswith(x[:-1])):
+            elif x.endswith(".") and starts(fy, x[:-1]):
                 ll += SHORT
             elif x.endswith(".") and len(y) > 3 and edits(x[:-1], y[: len(x) - 1], 1) <= 1 and x[0] == y[0]:
                 ll, typos = ll + SHORT + TYPO_GIVEN, typos + 1
-            elif fx == fy or len(x) >= 3 and fy.startswith(x) and len(y) > len(x) + 1:
+            elif not set(fx).isdisjoint(fy) or len(x) >= 3 and any(n.startswith(x) and len(n) > len(x) + 1 for n in fy):
                 ll += NICK
-            elif min(len(x), len(y)) >= 3 and not x.endswith(".") and not y.endswith(".") and (edits(x, y, 1) <= 1 or min(len(fx), len(fy)) >= 4 and edits(fx, fy, 1) <= 1):
+            elif min(len(x), len(y)) >= 3 and not x.endswith(".") and not y.endswith(".") and (edits(x, y, 1) <= 1 or any(min(len(m), len(n)) >= 4 and edits(m, n, 1) <= 1 for m in fx for n in fy)):
                 ll, typos = ll + TYPO_GIVEN, typos + 1
             elif sv == sc and min(len(x), len(y)) >= 6 and edits(x, y, 2) <= 2:
                 ll, typos = ll + 2 * TYPO_GIVEN, typos + 1
@@ -227,18 +247,33 @@ def _deletes(s: str) -> list[str]:
     return sorted({s, *(s[:k] + s[k + 1 :] for k in range(len(s)))}) if len(s) >= 4 else [s]
 
 
-def block_keys(kind: str, surname: str, given: str, rare: str) -> list[str]:
-    """Keys that two classes share if they may be one: surnames one edit apart with an initial, or a given name one edit apart."""
+def block_keys(kind: str, surname: str, given: str, rare: str) -> tuple[list[str], list[str]]:
+    """Keys under which a class looks for candidates, and under which it is found as one.
+
+    Organisations: their two rarest words one edit apart. Full given names: with the surname one edit apart, the name
+    itself, a name it is short for or its first letters; with the surname as it is, the given name one edit apart.
+    Initials and shortened names look for every given name of their first letter; as candidates, all names are found by
+    it, and full names look for the forms of initials too. Bare surnames look for bare surnames. So two full names of one surname and initial don't meet unless alike, and
+    the few forms of initials of a surname meet its names, not the names each other.
+    """
     if kind == "o":
-        return [f"o|{d}" for w in (rare or "").split() for d in _deletes(w)]
+        keys = [f"o|{d}" for w in (rare or "").split() for d in _deletes(w)]
+        return keys, keys
+    near = _deletes(surname)
     first = given.split()[0] if given else ""
     if not first:
-        return []
-    heads = sorted({first[0], NICKNAMES.get(first, first)[0]})
-    keys = [f"p|{d}|{h}" for d in _deletes(surname) for h in heads]
-    if len(first) >= 4 and not first.endswith("."):
-        keys += [f"g|{surname}|{d}" for d in _deletes(first)]
-    return keys
+        keys = [f"n|{d}" for d in near]
+        return keys, keys
+    heads = [f"i|{d}|{h}" for d in near for h in sorted({n[0] for n in full_names(first)})]
+    short = [f"h{x[1:]}" for x in heads]
+    if len(first) == 1 or first.endswith("."):
+        return heads, heads + short
+    names = full_names(first)
+    both = [f"f|{d}|{n}" for d in near for n in names] + [f"s|{d}|{h}" for d in near for h in sorted({n[:3] for n in names})]
+    both += sorted({f"g|{surname}|{d}" for n in names for d in _deletes(n)})
+    # with a typo in the surname, too: the end of a long name, or a short name one edit apart
+    both += sorted({f"e|{d}|{x}" for d in near for n in names for x in [n[-3:]] * (len(n) >= 5) + _deletes(n) * (len(n) <= 6)})
+    return both + short, both + heads
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,10 +284,11 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lists = pa.list_(pa.string())
     for b in batches:
         rows = b.to_pydict()
         keys = [block_keys(k, s, g, r) for k, s, g, r in zip(rows["kind"], rows["surname"], rows["given"], rows["rare"], strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.string()))], names=["cid", "keys"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k for k, _ in keys], lists), pa.array([k for _, k in keys], lists)], names=["cid", "looks", "found"])
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,8 +351,10 @@ def name_groups(names: DataFrame, column: str = "author_name") -> DataFrame:
     often = words.groupBy("w").agg(F.sum("n").alias("df"))
     rare = words.join(often, "w").groupBy("cid").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("df", "w"))), 1, 2), lambda x: x["w"]), " ").alias("rare"))  # words of one name
     classes = cut(classes.join(totals, ["kind", "surname"]).join(heads, ["kind", "surname", "head"]).join(rare, "cid", "left"))
-    keys = classes.select("cid", "kind", "surname", "given", "rare").mapInArrow(_key_batches, "cid bigint, keys array<string>").select("cid", F.explode("keys").alias("key"))
-    pairs = keys.withColumnRenamed("cid", "v").join(keys.withColumnRenamed("cid", "c"), "key").filter("v <> c").select("v", "c").distinct()
+    keys = cut(classes.select("cid", "kind", "surname", "given", "rare").mapInArrow(_key_batches, "cid bigint, looks array<string>, found array<string>"))
+    looks = keys.select(F.col("cid").alias("v"), F.explode("looks").alias("key")).select("v", F.xxhash64("key").alias("key"))
+    found = keys.select(F.col("cid").alias("c"), F.explode("found").alias("key")).select("c", F.xxhash64("key").alias("key"))
+    pairs = looks.join(found, "key").filter("v <> c").select("v", "c").distinct()
     side = lambda k: classes.select(F.col("cid").alias(k), F.col("surname").alias("s" + k), F.col("given").alias("g" + k), F.col("n").alias("n" + k), F.col("total").alias("t" + k), F.col("initial").alias("i" + k))
     full = pairs.join(side("v"), "v").join(side("c").join(classes.select(F.col("cid").alias("c"), "kind"), "c"), "c")
     scored = full.mapInArrow(_score_batches, "v bigint, c bigint, score double")

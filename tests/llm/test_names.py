@@ -2,7 +2,7 @@
 
 import pytest
 
-from refsieve.llm.names import channel, edits, name_groups, parse, same_entity_pairs
+from refsieve.llm.names import block_keys, channel, edits, name_groups, parse, same_entity_pairs
 
 
 @pytest.mark.parametrize(
@@ -27,6 +27,29 @@ def test_channel():
     assert channel("o", "", "coping center drutanugo", "", "center coping drutanugo stress") and channel("o", "", "kandor university", "", "hospital kandor university") is None
 
 
+@pytest.mark.parametrize(("short", "full"), [("jack", "john"), ("jenny", "jennifer"), ("steve", "stephen"), ("steve", "steven"), ("larry", "lawrence"), ("harry", "henry"), ("pepe", "jose"), ("bob", "robert"), ("uli", "ulrike")])
+def test_nicknames(short, full):
+    assert channel("p", "rigidum", short, "rigidum", full)
+
+
+def test_bare_surnames(spark):
+    got, _ = groups(spark, ["Rigidum"] * 40 + ["Riigidum", "Malobix", "Rigidum, Oksana"])
+    assert got == [["Malobix"], ["Rigidum", "Riigidum"], ["Rigidum, Oksana"]]
+
+
+def test_keys_find_what_the_channel_links():
+    """Classes that the channel links share a key in one direction; two unlike full names of a surname share none."""
+    share = lambda a, b: bool({*block_keys(*a, "")[0]} & {*block_keys(*b, "")[1]} or {*block_keys(*b, "")[0]} & {*block_keys(*a, "")[1]})
+    names = ["oksana", "o", "oks.", "oksanna", "olga", "robert", "bob", "r p", "samuel", "sam", "osana m", ""]
+    for s1 in ("rigidum", "riigidum", "malobix"):
+        for g1 in names:
+            for s2 in ("rigidum", "malobix"):
+                for g2 in names:
+                    if (s1, g1) != (s2, g2) and (channel("p", s1, g1, s2, g2) or channel("p", s2, g2, s1, g1)):
+                        assert share(("p", s1, g1), ("p", s2, g2)), (s1, g1, s2, g2)
+    assert not share(("p", "wang", "xiulan"), ("p", "wang", "xoanbo")) and not share(("p", "wang", "olga"), ("p", "wang", "oksana"))
+
+
 def groups(spark, names):
     g = name_groups(spark.createDataFrame([(n, 1) for n in names], "author_name string, n int"))
     out = {}
