@@ -38,24 +38,31 @@ def parse_record(text: Column) -> Column:
     return F.filter(pairs, lambda p: p["tag"] != "ER").cast(TAGS)
 
 
-def read_ris(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, tags) of every record of RIS files, in the order of path and position.
+def numbered(records: DataFrame) -> DataFrame:
+    """(ord, value) of records (value, _metadata) read from files, in the order of path and position.
 
-    Files are split at the end-of-record line, so a large file is read by many tasks. The rows of a split stand together
-    in one task and in order, so ``ord`` is the count of the splits before plus the place in the split: one row per split
-    is summed up and joined back, the texts are not moved. A missing final end-of-record line is allowed; blank records
-    give no row.
+    The rows of a file split stand together in one task and in order, so ``ord`` is the count of the splits before plus
+    the place in the split: one row per split is summed up and joined back, the texts are not moved.
     """
-    raw = spark.read.option("lineSep", "\nER  -").text(path)
-    raw = raw.select("value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_path").alias("name"), F.col("_metadata.file_block_start").alias("block"))
-    # what is left of the end-of-record line stands before the next record
-    rec = raw.withColumn("value", F.regexp_replace("value", r"^(?:[ \t]*\r?\n)+", "")).filter(F.col("value").rlike(r"(?m)^[A-Z][A-Z0-9]  ?-"))
+    rec = records.select("value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_path").alias("name"), F.col("_metadata.file_block_start").alias("block"))
     rec = rec.withColumn("mid", F.monotonically_increasing_id())
     splits = rec.groupBy("file", "block").agg(F.min("name").alias("name"), F.min("mid").alias("first"), F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("name", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per file split
     offsets = splits.select("file", "block", (before - F.col("first")).alias("shift"))
     placed = join_checked(rec.drop("name"), offsets, ["file", "block"], "inner", SPLIT_ROWS)
-    return placed.select((F.col("mid") + F.col("shift")).cast("bigint").alias("ord"), parse_record(F.col("value")).alias("tags"))
+    return placed.select((F.col("mid") + F.col("shift")).cast("bigint").alias("ord"), "value")
+
+
+def read_ris(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, tags) of every record of RIS files, in the order of path and position.
+
+    Files are split at the end-of-record line, so a large file is read by many tasks. A missing final end-of-record line
+    is allowed; blank records give no row.
+    """
+    raw = spark.read.option("lineSep", "\nER  -").text(path).select("value", "_metadata")
+    # what is left of the end-of-record line stands before the next record
+    rec = raw.withColumn("value", F.regexp_replace("value", r"^(?:[ \t]*\r?\n)+", "")).filter(F.col("value").rlike(r"(?m)^[A-Z][A-Z0-9]  ?-"))
+    return numbered(rec).select("ord", parse_record(F.col("value")).alias("tags"))
 
 
 def _values(tags: Column, names: list[str]) -> Column:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from refsieve.sources.formats import read_references, write_references
 from refsieve.sources.ris import parse_record, read_ris, to_table, write_ris
 from refsieve.sources.tables import meta_paths, meta_time, read_articles, read_excerpts, read_run_meta, tracked_files, write_csv
 
@@ -79,3 +80,31 @@ def test_meta_and_files(spark, tmp_path):
     a = read_articles(spark, str(tmp_path / "*" / "*.md")).first()
     assert (a["article_no"], a["slug"], a["text"]) == (1, "some-slug", "# x\ny")
     assert tracked_files(spark, str(d / "*.md")).first()["bytes"] == 5
+
+
+def test_bibtex(spark, tmp_path):
+    text = """% a comment
+@comment{none}
+@article{k1,
+  title = {The {Stress} of
+   nurses},
+  author = {Xu, Yan and Zed, W.},
+  doi = "10.1/a", year = 2001, keywords = {sleep; grief}, volume = {3}
+}
+@book{k2, title={Other}, author={Q, R.}}
+"""
+    (tmp_path / "a.bib").write_text(text)
+    t = to_table(read_references(spark, str(tmp_path / "a.bib")))
+    assert rows(t.select("ord", "doi", "title", "author", "year")) == [(0, "10.1/a", "The Stress of nurses", "Xu, Yan and Zed, W.", "2001"), (1, None, "Other", "Q, R.", None)]
+    assert t.filter("ord = 0").first()["extra"] == {"type": ["JOUR"], "keywords": ["sleep", "grief"], "volume": ["3"]}
+    back = to_table(read_references(spark, write_references(t, str(tmp_path / "out.bib"))))
+    assert rows(t) == rows(back)
+
+
+def test_pubmed(spark, tmp_path):
+    text = "PMID- 11\nTI  - Stress of\n      nurses.\nFAU - Xu, Yan\nAU  - Xu Y\nDP  - 2001 May\nLID - 10.1/a [doi]\nOT  - sleep\n\nPMID- 12\nTI  - Other\nAU  - Q R\n"
+    for name, t in (("a.nbib", text), ("b.nbib", text.replace("\n", "\r\n"))):
+        (tmp_path / name).write_text(t, newline="")
+        got = to_table(read_references(spark, str(tmp_path / name)))
+        assert rows(got.select("ord", "doi", "title", "author", "year")) == [(0, "10.1/a", "Stress of nurses.", "Xu, Yan", "2001"), (1, None, "Other", "Q R", None)]
+        assert got.filter("ord = 0").first()["extra"] == {"type": ["JOUR"], "PMID": ["11"], "keywords": ["sleep"]}
