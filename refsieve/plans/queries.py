@@ -250,7 +250,7 @@ def _all(*tags: str) -> str:
 
 def _vector(text: str) -> str:
     """SQL of the hashing embedder."""
-    return f"list_transform(range(64), lambda d: len(list_filter({_GRAMS.format(f'lower({text})')}, lambda g: g = d))::double)"
+    return f"case when {text} is not null then list_transform(range(64), lambda d: len(list_filter({_GRAMS.format(f'lower({text})')}, lambda g: g = d))::double) end"
 
 
 def _cosine(a: str, b: str) -> str:
