@@ -248,14 +248,15 @@ def _all(*tags: str) -> str:
     return f"case when len({v}) > 0 then array_to_string({v}, '{MULTI}') end"
 
 
-def _vector(text: str) -> str:
-    """SQL of the hashing embedder."""
-    return f"case when {text} is not null then list_transform(range(64), lambda d: len(list_filter({_GRAMS.format(f'lower({text})')}, lambda g: g = d))::double) end"
+def _vector(text: str, name: str) -> str:
+    """SQL of the hashing embedder: the column ``name`` and whether its text is null."""
+    grams = _GRAMS.format(f"lower(coalesce({text}, ''))")
+    return f"list_transform(range(64), lambda d: len(list_filter({grams}, lambda g: g = d))::double) as {name}, ({text}) is null as {name}_no"
 
 
 def _cosine(a: str, b: str) -> str:
     """SQL of the cosine of two count vectors; 0 for an empty one."""
-    return f"case when {a} is null or {b} is null then null when list_sum({a}) = 0 or list_sum({b}) = 0 then 0.0 else list_cosine_similarity({a}, {b}) end"
+    return f"case when {a}_no or {b}_no then null when list_sum({a}) = 0 or list_sum({b}) = 0 then 0.0 else list_cosine_similarity({a}, {b}) end"
 
 
 def _quoted(texts: list[str]) -> str:
@@ -264,7 +265,7 @@ def _quoted(texts: list[str]) -> str:
 
 _TRIPLES = [("mc", "hc1"), ("mc", "hc2"), ("hc1", "hc2")]
 _LITERALS = f"select {_quoted(MC)} as mc, {_quoted(HC1)} as hc1, {_quoted([HC2])} as hc2"
-_LITERAL_VECTORS = f"with t as (select array_to_string(mc, '') as mc, array_to_string(hc1, '') as hc1, array_to_string(hc2, '') as hc2 from ({_LITERALS})), v as (select {', '.join(f'{_vector(c)} as {c}' for c in ('mc', 'hc1', 'hc2'))} from t)"
+_LITERAL_VECTORS = f"with t as (select array_to_string(mc, '') as mc, array_to_string(hc1, '') as hc1, array_to_string(hc2, '') as hc2 from ({_LITERALS})), v as (select {', '.join(_vector(c, c) for c in ('mc', 'hc1', 'hc2'))} from t)"
 
 _LABEL = "case when t.tag in ('AB', 'N2') then 'abstract' when t.tag in ('JO', 'T2', 'JF') then 'journal' when t.tag = 'KW' then 'keywords' when t.tag = 'N1' then 'notes' when t.tag = 'TY' then 'type' else t.tag end"
 _KEPT = f"list_transform(list_filter(tags, lambda t: t.tag not in ('TI', 'T1', 'DO', 'AU', 'A1', 'PY', 'Y1', 'ER') and t.value is not null), lambda t: {{'label': {_LABEL}, 'value': t.value}})"
@@ -286,15 +287,15 @@ ORACLE: dict[str, str] = {
     "zip_pairs": """with s as (select ord, string_split(mc, ' ') a, string_split(hc1, ' ') b from coding_excerpt where mc is not null and hc1 is not null)
   select ord, i - 1 as pos, a[i] as a, b[i] as b from (select ord, a, b, unnest(range(1, least(len(a), len(b)) + 1)) as i from s)""",
     "joined_text": "select ord, coalesce(mc, '') || coalesce(hc1, '') || coalesce(hc2, '') as text from coding_excerpt",
-    "triple_similarity": f"with v as (select ord, {', '.join(f'{_vector(c)} as {c}' for c in ('mc', 'hc1', 'hc2'))} from coding_excerpt) select ord, " + ", ".join(f"{_cosine(a, b)} as {a.upper()}_{b.upper()}" for a, b in _TRIPLES) + " from v",
+    "triple_similarity": f"with v as (select ord, {', '.join(_vector(c, c) for c in ('mc', 'hc1', 'hc2'))} from coding_excerpt) select ord, " + ", ".join(f"{_cosine(a, b)} as {a.upper()}_{b.upper()}" for a, b in _TRIPLES) + " from v",
     "interpretation_literals": f"with l as ({_LITERALS}) " + " union all ".join(f"select '{c}' as side, i - 1 as pos, {c}[i] as text from (select {c}, unnest(range(1, len({c}) + 1)) as i from l)" for c in ("mc", "hc1", "hc2")),
-    "interpretation_pairs": f"with l as (select mc[i] as a, hc1[i] as b, i from ({_LITERALS}), (select unnest([1, 2]) as i)), v as (select i, {_vector('a')} as a, {_vector('b')} as b from l) select i::bigint - 1 as pos, {_cosine('a', 'b')} as sim from v",
+    "interpretation_pairs": f"with l as (select mc[i] as a, hc1[i] as b, i from ({_LITERALS}), (select unnest([1, 2]) as i)), v as (select i, {_vector('a', 'a')}, {_vector('b', 'b')} from l) select i::bigint - 1 as pos, {_cosine('a', 'b')} as sim from v",
     "interpretations": _LITERAL_VECTORS + " union all ".join(f" select '{a}' as \"left\", '{b}' as \"right\", {_cosine(a, b)} as sim from v" for a, b in _TRIPLES),
-    "joined_similarity": f"with v as (select ord, {_vector("coalesce(mc, '') || coalesce(hc2, '')")} as mc, {_vector("coalesce(hc1, '') || coalesce(hc2, '')")} as hc1, {_vector("coalesce(hc2, '')")} as hc2 from coding_excerpt)"
+    "joined_similarity": f"with v as (select ord, {_vector("coalesce(mc, '') || coalesce(hc2, '')", "mc")}, {_vector("coalesce(hc1, '') || coalesce(hc2, '')", "hc1")}, {_vector("coalesce(hc2, '')", "hc2")} from coding_excerpt)"
     + " union all ".join(f" select ord, '{a}' as \"left\", '{b}' as \"right\", {_cosine(a, b)} as sim from v" for a, b in _TRIPLES),
     "zip_similarity": f"""with s as (select ord, string_split(mc, '. ') a, string_split(hc1, '. ') b from coding_excerpt where mc is not null and hc1 is not null),
   p as (select ord, i - 1 as pos, a[i] as a, b[i] as b from (select ord, a, b, unnest(range(1, least(len(a), len(b)) + 1)) as i from s)),
-  v as (select ord, pos, {_vector('a')} as a, {_vector('b')} as b from p) select ord, pos, {_cosine('a', 'b')} as sim from v""",
+  v as (select ord, pos, {_vector('a', 'a')}, {_vector('b', 'b')} from p) select ord, pos, {_cosine('a', 'b')} as sim from v""",
     "ris_fields": f"select ord, {_REST} as extra, {_FIRST.format('DO')} as doi, coalesce({_FIRST.format('TI')}, {_FIRST.format('T1')}) as title, {_all('AU', 'A1')} as author, coalesce({_FIRST.format('PY')}, {_FIRST.format('Y1')}) as year from ris_records",
     "ris_roundtrip": f"select ord, {_WRITTEN}",
     "ris_file_roundtrip": f"select {_WRITTEN}",
