@@ -52,8 +52,8 @@ _EMAIL = regex.compile(
     r"(?<![\w.+-])\w[\w.+-]*+(?:[ ]?@[ ]?|[ ]?[\[(][ ]?(?:at|AT)[ ]?[\])][ ]?|[ ](?:at|AT)[ ](?=[\w-]+[ ](?:dot|DOT)[ ]))[\w-]++(?:(?:\.|[ ]?[\[(][ ]?(?:dot|DOT)[ ]?[\])][ ]?|[ ](?:dot|DOT)[ ])[\w-]++)++"
 )
 _EMAIL_SIGN = re.compile(r"@|[\[(] ?at ?[\])]| dot ", re.IGNORECASE)
-_PHONE = regex.compile(r"(?<![\w.,/\-–])(?:\+|00)?\(?\d[\d ()./\-]{5,22}\d(?:,?[ ](?:ext\.?|x)[ ]?\d{1,5})?(?![\w])")
-_ID = regex.compile(
+_PHONE = re.compile(r"(?<![\w.,/\-–])(?:\+|00)?\(?\d[\d ()./\-]{5,22}\d(?:,?[ ](?:ext\.?|x)[ ]?\d{1,5})?(?![\w])")
+_ID = re.compile(
     r"(?<![\w\-.])(?<!\d )(?:[A-Z]{1,3}\d{2} \d{6}|[A-Z]{1,3}-?\d{5,10}[A-Z]?|[A-Z]\d{7}[A-Z]|[A-Z]\d{3}-\d{4}-\d{4}|[A-Z]\d{3}\.\d{3}\.\d{2}|\d{7,9}-?[A-Z]|\d{6}-\d{4}|\d{3}[- ]\d{2}[- ]\d{4}|\d{3}[- ]\d{3}[- ]\d{4}|\d{3}-\d{4}|"
     r"\d{1,2}(?:[ .]\d{2,3}){3,6}|\d{2} \d{6} [A-Z] \d{3}|\d{5,12})(?![\w\-])"
 )
@@ -94,36 +94,33 @@ _LOWER = {x: x for x in "ww www wi.w i.w i.i.w wvw wvvw".split()}
 _LONGEST = 7
 
 
+@lru_cache(maxsize=1 << 17)
+def _token_kind(t: str) -> tuple[str, str]:
+    """Lower-case form of a token, digits masked, and its class letter."""
+    low = t.lower()
+    if t[0].isalpha():
+        if low == t:
+            return low, "v" if t in _PARTICLES else "i" if len(t) == 1 else "w"
+        return low, "I" if len(t) == 1 else "C" if t[0].isupper() else "w"
+    if t[0].isdigit():
+        return "0" * len(t), "0"
+    if t[-1] == "\n":
+        return "\n", "n"
+    return low, t if t in ".,:;()<&/" else "*"
+
+
 class Text:
     """Tokens of a text: places, lower-case forms with masked digits, and a string of one class letter per token."""
 
     def __init__(self, text: str) -> None:
         self.text = text
-        self.at: list[int] = []
-        self.end: list[int] = []
-        self.low: list[str] = []
-        cls: list[str] = []
-        for m in _TOKEN.finditer(text):
-            t = m.group()
-            self.at.append(m.start())
-            self.end.append(m.end())
-            low = t.lower()
-            if t[0].isalpha():
-                if low == t:
-                    cls.append("v" if t in _PARTICLES else "i" if len(t) == 1 else "w")
-                else:
-                    cls.append("I" if len(t) == 1 else "C" if t[0].isupper() else "w")
-            elif t[0].isdigit():
-                cls.append("0")
-                low = "0" * len(t)
-            elif t[-1] == "\n":
-                cls.append("n")
-                low = "\n"
-            else:
-                cls.append(t if t in ".,:;()<&/" else "*")
-            self.low.append(low)
-        self.cls = "".join(cls)
-        self.words = {w for w, c in zip(self.low, cls, strict=True) if c == "w"}
+        found = list(_TOKEN.finditer(text))
+        self.at = [m.start() for m in found]
+        self.end = [m.end() for m in found]
+        kinds = [_token_kind(m.group()) for m in found]
+        self.low = [low for low, _ in kinds]
+        self.cls = "".join([c for _, c in kinds])
+        self.words = {low for low, c in kinds if c == "w"}
         self.cited = [(m.start(), m.end()) for m in _CITATION.finditer(text)] if "(" in text else []
 
     def in_citation(self, a: int) -> bool:
@@ -137,9 +134,6 @@ class Cues:
     def __init__(self, one: set[str], two: set[tuple[str, str]]) -> None:
         self.one, self.two = one, two
 
-    def __contains__(self, pair: tuple[str, str]) -> bool:
-        return pair[1] in self.one or pair in self.two
-
 
 Candidate = tuple[int, int, str, int, int, tuple[str, ...]]
 
@@ -196,10 +190,11 @@ def _patterned(t: Text) -> list[tuple[int, int, str, tuple[str, ...]]]:
 def _named(t: Text, cues: Cues | None) -> list[tuple[int, int, str]]:
     """Token spans with the form of a name: first token, token behind the last, form."""
     cls, low, text, out = t.cls, t.low, t.text, []
+    one, two = (cues.one, cues.two) if cues else ((), ())
     for i, c in enumerate(cls):
         if c in "CIv":
             forms = _UPPER
-        elif cues is not None and c in "wi" and (i == 0 or _cued(t, i, cues)):
+        elif c in "wi" and (i == 0 or low[i - 1] in one or (low[i - 2] if i > 1 else "^", low[i - 1]) in two):
             forms = _LOWER
         else:
             continue
@@ -218,11 +213,6 @@ def _named(t: Text, cues: Cues | None) -> list[tuple[int, int, str]]:
     return out
 
 
-def _cued(t: Text, i: int, cues: Cues) -> bool:
-    j = i - 1
-    return (t.low[j - 1] if j else "^", t.low[j]) in cues
-
-
 def _skip_titles(t: Text, i: int) -> int:
     """First token of the forms of address before a token."""
     j = i
@@ -408,11 +398,11 @@ class Detector:
         """Candidate segments, sorted by end, and their scores; what stands before and behind names is scored once a place."""
         t = Text(text)
         get = self.weights.get
-        total = lambda names: sum(get(x, 0.0) for x in names)
+        total = lambda names: sum([get(x, 0.0) for x in names])
         rows, contacts = [], []
         for a, b, kind, own in _patterned(t):
             (w1, o1), (w2, o2) = _before(t, bisect_left(t.at, a), False), _behind(t, bisect_left(t.at, b), False, [])
-            rows.append((b, a, kind, total(f"{kind} {x}" for x in (*w1, *w2, "bias", *o1, *o2, *own))))
+            rows.append((b, a, kind, total([f"{kind} {x}" for x in (*w1, *w2, "bias", *o1, *o2, *own)])))
             if kind in ("email", "phone"):
                 contacts.append(a)
         contacts.sort()
