@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 #: A DOI anywhere in a value; formatting around it (label, resolver, brackets, final stop) is left out.
 DOI_RE = r"(?i)10\.\d{4,9}/[^\s<>\[\]{}\"'“”«»]+"
-#: White space with the no-break and zero-width characters that Java's \s leaves out.
-SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200D}\x{2028}\x{2029}\x{202F}\x{205F}\x{2060}\x{3000}\x{FEFF}]"
+
+#: White space of any kind, with the no-break and zero-width characters.
+BLANKS = " \t\n\x0b\x0c\r\x85\xa0\u1680\u180e" + "".join(map(chr, range(0x2000, 0x200E))) + "\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 
 
 def trimmed(c: Column) -> Column:
     """Without surrounding white space of any kind."""
-    return F.regexp_replace(c, rf"^{SPACE}++|(?<!{SPACE}){SPACE}++$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def present(c: Column) -> Column:
@@ -25,7 +26,7 @@ def present(c: Column) -> Column:
 def doi_key(c: Column) -> Column:
     """The DOI inside a value in lower case, without label, resolver or enclosing marks; null if there is none."""
     raw = F.regexp_extract(F.lower(c), DOI_RE, 0)
-    bare = F.regexp_replace(raw, r"[.,;:)\]>]+$", "")
+    bare = F.rtrim(raw, F.lit(".,;:)]>"))
     return F.when(bare != "", bare)
 
 

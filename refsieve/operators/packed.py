@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import present
+from ..functions.text import BLANKS, present
 
 #: Rules are broadcast whole up to this many; else only those of skeletons with more than 1/HOT_SHARE of the segments.
 RULE_ROWS, HOT_SHARE = 50_000, 20_000
@@ -39,11 +39,9 @@ ORG = (
 )
 
 _SEP = ";|/\r\n"
-# White space as in functions.text.SPACE.
-_BLANKS = " \t\n\x0b\x0c\r\x85\xa0\u1680\u180e" + "".join(map(chr, range(0x2000, 0x200E))) + "\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
-_INLINE = "".join(c for c in _BLANKS if c not in "\r\n")
+_INLINE = "".join(c for c in BLANKS if c not in "\r\n")
 #: Quoted runs, delimiters, blanks and words; nothing is lost, so slices join to the text.
-_TOKEN = re.compile(rf'"[^"]*(?:""[^"]*)*"|[{_SEP}]+|,|&|[{_INLINE}]+|[^{_BLANKS},&"{_SEP}]+|"')
+_TOKEN = re.compile(rf'"[^"]*(?:""[^"]*)*"|[{_SEP}]+|,|&|[{_INLINE}]+|[^{BLANKS},&"{_SEP}]+|"')
 
 # Classes of words, the first that fits; other words are 'w'.
 _CLASSES = [
@@ -256,9 +254,9 @@ def _rare(skeleton: str) -> list[int]:
 
 def _take(tokens: list[str], start: int, end: int) -> str:
     """The value at token positions: trimmed, without the quotes that enclose it."""
-    raw = "".join(tokens[start:end]).strip(_BLANKS)
+    raw = "".join(tokens[start:end]).strip(BLANKS)
     if end - start == 1 and len(raw) > 1 and raw[0] == '"':
-        return raw[1:-1].replace('""', '"').strip(_BLANKS)
+        return raw[1:-1].replace('""', '"').strip(BLANKS)
     return raw
 
 
