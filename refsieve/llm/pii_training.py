@@ -2,8 +2,10 @@
 
 A text is a row of sentences. A sentence is put together from lists of openings, verbs, roles, labels and endings in four
 languages around slots; slots become items of personal information with their kind (capital letters) or look-alikes
-without one (lower case). The wording is general and was written without looking at any corpus; names, places, numbers
-and addresses are random. The generator is deterministic and the number of texts is a parameter.
+without one (lower case). The wording is general: no sentence is taken from a corpus, but kinds of sentences were added
+after looking at errors on documents (notes without a subject, exclusion reasons of screening, German and Spanish
+look-alikes, acknowledgements with two reasons). Names, places, numbers and addresses are random. The generator is
+deterministic and the number of texts is a parameter.
 """
 
 from __future__ import annotations
